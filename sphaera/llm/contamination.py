@@ -36,10 +36,11 @@ BETWEEN = 20
 MISSING = 6
 BLOCK_CHARS = 16_000_000
 MASKS = ("1110111", "11011011")
+_SEEN_BITS = 22
 
 _TAGS = re.compile(r"<[^<>]{1,60}>")
 _BROKEN = re.compile(r"(?<=\w)[-‐‑¬][ \t]*[\r\n]+\s*(?=\w)")
-_INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_INVISIBLE = re.compile("[­​‌‍⁠﻿]")
 _MARKS = re.compile("[̀-ͯ]")
 _WORDS = re.compile(r"[^\W_]+|[_█]{2,}|\[\W{1,5}\]")
 
@@ -49,7 +50,7 @@ def plain_words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_INVISIBLE)))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
     if "<" in text:
         text = _TAGS.sub(" ", text)
     if "\n" in text or "\r" in text:
@@ -92,6 +93,10 @@ class PassageIndex:
         self.lengths = np.array([len(w) for _, w in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
         self.words = np.array([self.vocabulary.get(w, -2) for _, ws in texts for w in ws], np.int32)
+        self.width = int(self.lengths.max(initial=0))
+        self.grid = np.full((len(texts), self.width), -3, np.int32)
+        for i, n in enumerate(self.lengths):
+            self.grid[i, :n] = self.words[self.starts[i] : self.starts[i] + n]
         self.tables = []
         for mask in MASKS:
             keys, places = [], []
@@ -102,16 +107,22 @@ class PassageIndex:
             key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
             place = np.concatenate(places) if places else np.empty(0, np.int64)
             order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], place[order]))
+            seen = np.zeros(1 << _SEEN_BITS, bool)
+            seen[(key >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)] = True
+            self.tables.append((key[order], place[order], seen))
         self.owner = np.repeat(np.arange(len(texts)), self.lengths)
 
     def _hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(passage, diagonal) of all hits, each once; a diagonal is document place less passage place."""
         found = []
-        for mask, (table, places) in zip(MASKS, self.tables):
+        for mask, (table, places, seen) in zip(MASKS, self.tables):
             keys, at = _seed_hashes(ids, mask)
             if not len(keys) or not len(table):
                 continue
+            maybe = seen[(keys >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)]
+            keys, at = keys[maybe], at[maybe]
+            if not len(keys):
+                continue
             lo = np.searchsorted(table, keys)
             same = table[np.minimum(lo, len(table) - 1)] == keys
             if not same.any():
@@ -127,46 +138,47 @@ class PassageIndex:
         both = np.unique(np.concatenate(found))
         return both >> 40, (both & ((1 << 40) - 1)) - (1 << 39)
 
-    def _equal(self, ids: np.ndarray, who: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """For each (passage, diagonal) which passage words the document has on it."""
-        width = int(self.lengths[who].max())
-        p = np.arange(width)
-        inside = p[None, :] < self.lengths[who][:, None]
-        mine = self.words[np.minimum(self.starts[who][:, None] + p, len(self.words) - 1)]
-        at = diagonal[:, None] + p
-        inside &= (at >= 0) & (at < len(ids))
-        return inside & (ids[np.clip(at, 0, len(ids) - 1)] == mine)
-
     def leaked(self, text: str | None) -> list[int]:
         """The items of which the text carries enough."""
         words = plain_words(text)
-        if len(words) < LEAST_WORDS - LEAST_WORDS // ONE_IN or not len(self.items):
+        least = LEAST_WORDS - LEAST_WORDS // ONE_IN
+        if len(words) < least or not len(self.items):
+            return []
+        get, width = self.vocabulary.get, self.width
+        padded = np.full(len(words) + 2 * width, -1, np.int32)
+        padded[width : width + len(words)] = [get(w, -1) for w in words]
+        who, diagonal = self._hits(padded[width : width + len(words)])
+        if not len(who):
             return []
-        get = self.vocabulary.get
-        ids = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
-        who, diagonal = self._hits(ids)
         out = []
-        least = LEAST_WORDS - LEAST_WORDS // ONE_IN
-        starts = np.concatenate([[0], np.nonzero(np.diff(who))[0] + 1, [len(who)]]) if len(who) else np.zeros(1, np.int64)
+        on = np.lib.stride_tricks.sliding_window_view(padded, width)
+        apart = (np.diff(who) != 0) | (np.diff(diagonal) > BETWEEN)
+        starts = np.concatenate([[0], np.nonzero(apart)[0] + 1, [len(who)]])
         block = 0
         while block < len(starts) - 1:
-            last = block + 1
-            while last < len(starts) - 1 and starts[last + 1] - starts[block] <= 2048:
-                last += 1
+            last = max(block + 1, int(np.searchsorted(starts, starts[block] + 2048, side="right")) - 1)
             cut = slice(starts[block], starts[last])
-            equal = self._equal(ids, who[cut], diagonal[cut])
+            equal = on[diagonal[cut] + width] == self.grid[who[cut]]
             first = starts[block:last] - starts[block]
-            some = np.logical_or.reduceat(equal, first, axis=0)
-            total = np.cumsum(np.pad(some, ((0, 0), (1, 0))), axis=1)
-            span = min(LEAST_WORDS, some.shape[1])
-            most = (total[:, span:] - total[:, :-span]).max(1)
+            most = np.add.reduceat(_densest(equal), first)
             for k in np.nonzero(most >= least)[0]:
                 rows = slice(first[k], starts[block + k + 1] - starts[block])
                 item = who[cut][first[k]]
-                if carried(equal[rows, : self.lengths[item]], diagonal[cut][rows]):
+                mine = equal[rows, : self.lengths[item]]
+                if _densest(mine.any(0)[None, :])[0] >= least and carried(mine, diagonal[cut][rows]):
                     out.append(int(self.items[item]))
             block = last
-        return out
+        return sorted(set(out))
+
+
+def _densest(equal: np.ndarray) -> np.ndarray:
+    """For each row the most equal words within ``LEAST_WORDS``."""
+    total = np.cumsum(equal, axis=1, dtype=np.int32)
+    span = min(LEAST_WORDS, equal.shape[1])
+    most = total[:, span - 1].copy()
+    if equal.shape[1] > span:
+        np.maximum(most, (total[:, span:] - total[:, :-span]).max(1), out=most)
+    return most
 
 
 def carried(equal: np.ndarray, diagonal: np.ndarray) -> bool:

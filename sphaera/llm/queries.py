@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sphaera.llm import knn_tree, similarity_clusters, tokenizer, top_n
+from sphaera.llm import contamination, knn_tree, similarity_clusters, tokenizer, top_n
 from sphaera.session import tables
 
 
@@ -28,7 +28,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaked_items(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 _USABLE = """
 usable AS (
