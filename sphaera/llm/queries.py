@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sphaera.llm import contamination, knn_tree, similarity_clusters, tokenizer, top_n
+from sphaera.llm import contamination, knn_tree, similarity_clusters, text_quality, tokenizer, top_n
 from sphaera.session import tables
 
 
@@ -32,7 +32,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaked_items(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.not_prose(tables(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.text_statistics(tables(spark, sf_dir, "documents")).drop("kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 _USABLE = """
 usable AS (
@@ -47,7 +55,31 @@ near AS (
   WHERE list_distance(a.x, b.x) <= a.r
 )"""
 
+_COMMON = ", ".join(f"'{w}'" for w in sorted(text_quality.COMMON))
+_ENDS = ", ".join("'" + c.replace("'", "''") + "'" for c in text_quality.END)
+
 SQL = {
+    "p8_statistics": f"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS words,
+    list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|\\r|\\n'), lambda l: regexp_replace(l, '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+$', '')), lambda l: length(l) > 0) AS lines,
+    length(regexp_replace(t, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', '', 'g')) AS solid
+  FROM d
+),
+c AS (
+  SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, solid, CAST(len(words) AS BIGINT) AS n, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS letters,
+    len(list_filter(words, lambda x: x <> 'A' AND lower(x) IN ({_COMMON}))) AS common,
+    CAST(len(lines) AS BIGINT) AS n_lines, len(list_filter(lines, lambda l: l[-1] IN ({_ENDS}))) AS ends
+  FROM w
+)
+SELECT doc_id, chars AS n_chars_counted, n AS n_words,
+  CASE WHEN n > 0 THEN round(letters / n, 6) END AS mean_word_length,
+  CASE WHEN chars > 0 THEN round((solid - letters) / chars, 6) END AS symbol_ratio,
+  n_lines,
+  CASE WHEN n_lines > 0 THEN round(ends / n_lines, 6) END AS end_punctuation_share,
+  CASE WHEN n > 0 THEN round(common / n, 6) END AS common_word_share
+FROM c""",
     "p4_found": """
 WITH last AS (
   SELECT DISTINCT grid_id, dataset, algorithm, success_runs, acc_mean, nmi_mean, f_measure_mean, runtime_seconds_mean, summarised_at
