@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sphaera.plans import data_queries
+from sphaera.plans import data_queries, relational
 
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
+QUERIES = {**data_queries.QUERIES, **relational.QUERIES}
+SQL = {**data_queries.SQL, **relational.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
