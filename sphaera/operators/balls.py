@@ -84,15 +84,21 @@ Kernel = Callable[[np.ndarray], np.ndarray]
 def generate(samples: DataFrame, kernel: Kernel, local: int = LOCAL) -> DataFrame:
     """(sample_id, features, ball): balls by ``kernel``, which maps the rows of one ball to ball numbers."""
 
+    rows = samples.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("features").cast("array<double>").alias("features"))
+    return refine(_coarse(rows, local), kernel)
+
+
+def refine(members: DataFrame, kernel: Kernel) -> DataFrame:
+    """The balls that ``kernel`` makes of each ball; they fit in a task, as ``generate`` leaves them."""
+
     def finish(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("sample_id")
         x = table.column("features").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        number = kernel(x)
-        names = [f"{key[0].as_py()}/{int(b):06d}" for b in number]
+        names = [f"{key[0].as_py()}/{int(b):06d}" for b in kernel(x)]
         return table.set_column(table.schema.get_field_index("ball"), "ball", pa.array(names))
 
-    rows = samples.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("features").cast("array<double>").alias("features"))
-    return session.materialize(_coarse(rows, local).groupBy("ball").applyInArrow(finish, "sample_id long, features array<double>, ball string"), "balls")
+    done = members.groupBy("ball").applyInArrow(finish, "sample_id long, features array<double>, ball string")
+    return session.materialize(done, "balls")
 
 
 def collect_balls(stats: DataFrame, limit: int = 20_000) -> dict[str, np.ndarray]:
