@@ -122,6 +122,20 @@ def edge_similarity(edges: DataFrame, long: DataFrame) -> DataFrame:
     return edges.select("a", "b").join(i, "a").join(j, ["b", "f"]).select("a", "b", "f", F.exp(-F.abs(F.col("va") - F.col("vb"))).alias("s"))
 
 
+def membership_similarity(edges: DataFrame, spread: DataFrame, share: float) -> DataFrame:
+    """(a, b, f, s): value similarity with weight ``share``, and that of spreads and centrality with the rest."""
+    h0 = float(np.interp(0.0, *shape_entropy(-2.0, 2.0, 1025)))
+    z = spread.groupBy("f").agg(F.greatest(F.max("left"), F.max("right"), F.lit(EPS)).alias("s"))
+    parts = spread.join(pdmf_parts(spread).select("sample_id", "f", "mu"), ["sample_id", "f"]).join(z, "f")
+    parts = parts.select("sample_id", "f", F.struct("v", F.exp(F.col("left") / F.col("s")).alias("l"), F.exp(F.col("right") / F.col("s")).alias("r"), "mu").alias("p"))
+    i = parts.select(F.col("sample_id").alias("a"), "f", F.col("p").alias("x"))
+    j = parts.select(F.col("sample_id").alias("b"), "f", F.col("p").alias("y"))
+    gap = lambda c: F.exp(-F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")))
+    shape = shape_column(F.col("x.mu") - F.col("y.mu"), -2.0, 2.0, 1025)
+    value = share * gap("v") + (1 - share) * (gap("l") + gap("r")) * shape / (2 * h0)
+    return edges.select("a", "b").join(i, "a").join(j, ["b", "f"]).select("a", "b", "f", value.alias("s"))
+
+
 def graph_importance(similarity: DataFrame) -> DataFrame:
     """(f, importance): change of the mean graph when a feature is left out, relative to the graph."""
     g = similarity.groupBy("a", "b").agg(F.avg("s").alias("g"), F.count("*").alias("p"))
