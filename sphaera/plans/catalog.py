@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from sphaera.plans import data_queries, experiments, relational
 
-from sphaera.plans import data_queries, relational
-
-QUERIES = {**data_queries.QUERIES, **relational.QUERIES}
-SQL = {**data_queries.SQL, **relational.SQL}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p2_found(spark, sf_dir)
+QUERIES = {**data_queries.QUERIES, **relational.QUERIES, **experiments.QUERIES}
+SQL = {**data_queries.SQL, **relational.SQL, **experiments.SQL}
+flagship = experiments.flagship
