@@ -69,3 +69,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application; where it is installed anyway this changes nothing."""
+    import pathlib
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="sphaera-code-")) / "sphaera_code.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(pathlib.Path(root.name) / f.relative_to(root)))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
