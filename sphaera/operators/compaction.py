@@ -58,7 +58,7 @@ def records(files: DataFrame, runs: DataFrame) -> DataFrame:
     pair = F.explode(F.slice(F.arrays_zip("sample_nos", "labels"), F.lit(1), F.least(F.size("sample_nos"), F.size("labels"))))
     return (
         whole.select("path", "file_id", "written_at", pair.alias("r"))
-        .select("path", F.col("r.sample_nos").alias("sample_no"), F.col("r.labels").alias("label"), "file_id", F.coalesce("written_at", F.timestamp_seconds(F.lit(-62135596800))).alias("written_at"))
+        .select("path", F.col("r.sample_nos").alias("sample_no"), F.col("r.labels").alias("label"), "file_id", "written_at")
         .where("sample_no is not null")
     )
 

@@ -45,7 +45,7 @@ def append_labels(labels: DataFrame, path: str, **run: Any) -> None:
 def read_delimited(spark: SparkSession, paths: list[str], sep: str | None = ",", id_at: int | None = None, label_at: int | None = None, drop: tuple[int, ...] = ()) -> DataFrame:
     """(row_id, features, label) of text files stacked; ``sep`` None splits on blanks."""
     lines = spark.read.text(paths).where(F.trim("value") != "")
-    parts = F.split(F.trim("value"), r"\s+") if sep is None else F.transform(F.split("value", f"\\Q{sep}\\E"), F.trim)
+    parts = F.split(F.trim("value"), r"\s+") if sep is None else F.transform(F.split("value", f"\\Q{sep}\\E"), lambda v: F.trim(v))
     other = [i for i in (id_at, label_at, *drop) if i is not None]
     numbers = F.filter(F.transform(parts, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: ~s["i"].isin(other) if other else F.lit(True))
     features = F.transform(numbers, lambda s: s["v"].try_cast("double"))
