@@ -186,7 +186,8 @@ def carried(equal: np.ndarray, diagonal: np.ndarray) -> bool:
 
     ``equal`` tells for each diagonal which passage words it has. A run may move to a later diagonal where
     something stands between the words, or to an earlier one where words are missing. A word that is there
-    scores 1, another costs ``ONE_IN`` - 1; a run is carried if it is long enough and its score is not negative.
+    scores 1, another costs ``ONE_IN`` - 1; a run is carried if it is long enough, its score is not negative, and its
+    first and last words are there, so a shorter quotation does not grow by words around it.
     """
     order = np.argsort(diagonal, kind="stable")
     equal, diagonal = equal[order], diagonal[order]
@@ -203,9 +204,9 @@ def carried(equal: np.ndarray, diagonal: np.ndarray) -> bool:
             for a, b in moves:
                 np.maximum(moved[:, b], before[:, a], out=moved[:, b])
             score[:p] = moved
-        score[p] = 0
+        score[p, equal[:, p]] = 0
         score[: p + 1] += gain[:, p]
-        if p + 1 >= LEAST_WORDS and (score[: p + 2 - LEAST_WORDS] >= 0).any():
+        if p + 1 >= LEAST_WORDS and (score[: p + 2 - LEAST_WORDS, equal[:, p]] >= 0).any():
             return True
     return False
 

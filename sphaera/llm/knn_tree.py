@@ -188,11 +188,14 @@ def fit_tree(x: np.ndarray, leaf: int, branch: int = BRANCH, rounds: int = 6) ->
     return Tree(children, centroids)
 
 
-def _fit(table: pa.Table) -> pa.Table:
-    x = matrix(table.column("x"))
-    share = len(x) / table.column("n")[0].as_py()
-    tree = fit_tree(x, max(2, int(LEAF * share)))
-    return pa.table({"dataset_name": [table.column("dataset_name")[0].as_py()], "tree": pa.array([tree.pack()], pa.binary())})
+def _fit(leaf: int):
+    def run(table: pa.Table) -> pa.Table:
+        x = matrix(table.column("x"))
+        share = len(x) / table.column("n")[0].as_py()
+        tree = fit_tree(x, max(2, int(leaf * share)))
+        return pa.table({"dataset_name": [table.column("dataset_name")[0].as_py()], "tree": pa.array([tree.pack()], pa.binary())})
+
+    return run
 
 
 def _assign(points: pa.Table, trees: pa.Table) -> pa.Table:
@@ -249,11 +252,11 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("rep").agg(top.alias("top")).select("rep", F.explode("top").alias("t")).select("rep", "t.other", "t.distance", "t.visit")
 
 
-def _large(large: DataFrame, k: int) -> DataFrame:
+def _large(large: DataFrame, k: int, leaf: int) -> DataFrame:
     """Neighbours in the datasets that have a tree."""
     share = F.greatest(F.lit(1), F.ceil(F.col("n") / TREE_SAMPLE)).cast("long")
     sample = large.where(F.pmod(F.xxhash64("rep", F.lit(11)), share) == 0)
-    trees = session.materialize(sample.groupBy("dataset_name").applyInArrow(_fit, "dataset_name string, tree binary"), "trees")
+    trees = session.materialize(sample.groupBy("dataset_name").applyInArrow(_fit(leaf), "dataset_name string, tree binary"), "trees")
     slices = F.ceil(F.col("n") / SLICE).cast("int")
     sizes = large.select("dataset_name", "n").distinct()
     placed = trees.join(sizes, "dataset_name").select("dataset_name", "tree", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
@@ -285,7 +288,7 @@ def _large(large: DataFrame, k: int) -> DataFrame:
     return search(bounded, session.materialize(budget, "budget"))
 
 
-def nearest_vectors(vectors: DataFrame, k: int = K, whole: int = WHOLE) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = K, whole: int = WHOLE, leaf: int = LEAF) -> DataFrame:
     """(rep, other, distance): the k nearest distinct vectors at most ``within`` away, smaller ids first if equal."""
     sizes = vectors.groupBy("dataset_name").agg(F.count("*").alias("n"))
     sized = session.materialize(vectors.join(sizes, "dataset_name").select("dataset_name", "rep", "x", "within", "n"), "vectors")
@@ -293,16 +296,16 @@ def nearest_vectors(vectors: DataFrame, k: int = K, whole: int = WHOLE) -> DataF
     found = small.repartition("dataset_name").sortWithinPartitions("dataset_name").mapInArrow(_within_group(1, k), _FOUND)
     large = sized.where(F.col("n") > whole)
     if not large.isEmpty():
-        found = found.unionByName(_large(large, k))
+        found = found.unionByName(_large(large, k, leaf))
     return found.select("rep", "other", "distance")
 
 
-def neighbour_lists(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE) -> DataFrame:
+def neighbour_lists(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE, leaf: int = LEAF) -> DataFrame:
     """(sample_id, neighbour, distance, place): at most k nearest similar samples of every usable sample."""
     samples = session.materialize(usable_samples(dataset, catalog), "samples")
     vectors, members = distinct_vectors(samples)
     members = session.materialize(members, "members")
-    found = session.materialize(nearest_vectors(vectors, k, whole), "found")
+    found = session.materialize(nearest_vectors(vectors, k, whole, leaf), "found")
     several = members.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep")
     few = Window.partitionBy("rep").orderBy("sample_id")
     copies = members.join(several, "rep", "left_semi").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
@@ -316,7 +319,7 @@ def neighbour_lists(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: i
     return each.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("sample_id", F.col("id").alias("neighbour"), "distance", "place")
 
 
-def neighbour_pairs(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE) -> DataFrame:
+def neighbour_pairs(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE, leaf: int = LEAF) -> DataFrame:
     """(sample_a, sample_b): pairs in which at least one is a neighbour of the other, the smaller first."""
-    lists = neighbour_lists(dataset, catalog, k, whole)
+    lists = neighbour_lists(dataset, catalog, k, whole, leaf)
     return lists.select(F.least("sample_id", "neighbour").alias("sample_a"), F.greatest("sample_id", "neighbour").alias("sample_b")).distinct()
