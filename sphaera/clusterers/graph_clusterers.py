@@ -396,7 +396,7 @@ def m3w(samples: DataFrame, k: int = 0, neighbours: int = 8, levels: int = 3, sh
     for level in range(levels):
         near = all_near if level == 0 else distance.knn(current, neighbours)
         value = current.join(distance.reverse_density(near).withColumnRenamed("b", "sample_id"), "sample_id", "left").select("sample_id", F.coalesce(F.round("density", 12), F.lit(0.0)).alias("value"))
-        inner = session.materialize(windows.border_filter(value, "value", "sample_id", share).select("sample_id"), "inner")
+        inner = session.materialize(windows.border_filter(value, "value", share).select("sample_id"), "inner")
         core, border = current.join(inner, "sample_id", "left_semi"), current.join(inner, "sample_id", "left_anti")
         if core.isEmpty() or border.isEmpty():
             break

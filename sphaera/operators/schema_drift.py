@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sphaera import session
+
 DELIMITERS = ",;\t|"
 NO_VALUE = frozenset({"", "nan", "na", "null"})
 INTEGER = r"^[+-]?[0-9]+$"
@@ -95,9 +97,9 @@ def parse_runs(run_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where(~F.regexp_replace("line", "^[﻿\\s]+", "").rlike(r"^(#.*)?$"))
     )
     headers = lines.groupBy("file_id").agg(F.min_by("line", "line_no").alias("header"))
-    headers = headers.mapInArrow(_names, "file_id long, header string, names array<string>, columns array<string>")
+    headers = session.materialize(headers.mapInArrow(_names, "file_id long, header string, names array<string>, columns array<string>"), "headers")
     runs = lines.join(headers.select("file_id", "header"), "file_id").select("file_id", "line_no", "line", "header")
-    return headers, runs.mapInArrow(_parse, "file_id long, line_no int, run string, cells array<string>")
+    return headers, session.materialize(runs.mapInArrow(_parse, "file_id long, line_no int, run string, cells array<string>"), "parsed")
 
 
 def _files(run_files: DataFrame, headers: DataFrame) -> DataFrame:

@@ -328,13 +328,13 @@ def q_median_split(spark, sf_dir):
 @query("q_core_balls", f"WITH {BALLS} SELECT ball, round(max_radius, 6) AS max_radius FROM b WHERE max_radius <= (SELECT max_radius FROM b ORDER BY max_radius, ball LIMIT 1 OFFSET greatest(CAST(floor((SELECT count(*) FROM b) * 0.6) AS BIGINT), 1) - 1)")
 def q_core_balls(spark, sf_dir):
     b = balls.ball_stats(labelled_balls(spark, sf_dir)).select("ball", "max_radius")
-    return rounded(windows.core_balls(b, "max_radius", "ball", 0.6), "max_radius")
+    return rounded(windows.core_balls(b, "max_radius", 0.6), "max_radius")
 
 
 @query("q_border_filter", f"WITH {KNN}, c AS (SELECT a, max(d) AS s FROM k GROUP BY a), e AS (SELECT b, round(sum(exp(-d * d / (s * s))), 9) AS density FROM k JOIN c USING (a) GROUP BY b), o AS (SELECT density, row_number() OVER (ORDER BY density, b) AS r, count(*) OVER () AS n FROM e) SELECT b, round(density, 6) AS density FROM e WHERE density > (SELECT density FROM o WHERE r = floor(n * 0.1) + 1)")
 def q_border_filter(spark, sf_dir):
     d = distance.reverse_density(_knn(spark, sf_dir)).withColumn("density", F.round("density", 9))
-    return rounded(windows.border_filter(d, "density", "b", 0.1), "density")
+    return rounded(windows.border_filter(d, "density", 0.1), "density")
 
 
 @query("q_histogram2d", f"""WITH {S}, v AS (SELECT x[1] AS a, y AS b FROM s), r AS (SELECT min(a) AS la, (max(a) - min(a)) / 10 AS wa, min(b) AS lb, (max(b) - min(b)) / 10 AS wb FROM v)

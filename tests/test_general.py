@@ -195,3 +195,20 @@ def test_readers(spark, tmp_path):
     with pytest.raises(Exception):
         files.read_idx(spark, [str(tmp_path / "y")], [str(tmp_path / "y")]).collect()
     assert files.read_csv(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_long_columns_are_cut_into_ranges(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 30, (200, 2)).astype(float)
+    long = scaling.long_form(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "sample_id long, features array<double>")).repartition(6)
+    for f in (lambda limit: windows.local_spread(long, 4, limit), lambda limit: windows.prefix_sum(long, limit)):
+        plain, cut = (sorted(tuple(round(v, 9) for v in r) for r in f(limit).collect()) for limit in (1000, 17))
+        assert plain == cut
+
+
+def test_order_statistics_of_long_columns(spark):
+    values = [float(v) for v in np.random.default_rng(4).integers(0, 50, 3000)] + [float("nan")]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for place in (0, 1, 1499, 2998, 2999):
+        assert windows.order_statistic(df, "v", place, limit=20) == sorted(values[:-1])[place]
+    assert windows.order_statistic(df.limit(0), "v", 0) is None
