@@ -197,7 +197,7 @@ def dpeak_nard(samples: DataFrame, k: int = 0, seed: int = 0) -> DataFrame:
     return _nard(samples, lambda z, s: K.density_peaks(z.density, z.d, len(z.groups)) + 1)
 
 
-def dbscan_nard(samples: DataFrame, k: int = 0, factor: float = 0.5, seed: int = 0) -> DataFrame:
+def dbscan_nard(samples: DataFrame, k: int = 0, factor: float = 0.25, seed: int = 0) -> DataFrame:
     """Balls dense enough grow clusters over their wide neighbours; labels 0.., -1 for noise."""
 
     def finish(z: Natural, s: dict) -> np.ndarray:
@@ -238,7 +238,7 @@ def dadc_nard(samples: DataFrame, k: int = 0, seed: int = 0) -> DataFrame:
     return _nard(samples, finish)
 
 
-def hcdc_nard(samples: DataFrame, k: int = 0, small: float = 0.02, seed: int = 0) -> DataFrame:
+def hcdc_nard(samples: DataFrame, k: int = 0, small: float = 0.01, seed: int = 0) -> DataFrame:
     """Representatives by neighbours' votes, cores that own each other's members joined, then single links.
 
     Clusters are joined until as many are left as there are groups; those of less than ``small`` of the balls

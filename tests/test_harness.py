@@ -47,3 +47,16 @@ def test_summary_ignores_nan(spark):
     runs = spark.createDataFrame(rows, "g string, status string, acc double, runtime_seconds double")
     row = harness.summarise(runs, ["g"], ["acc"]).first()
     assert row.success_runs == 1 and row.acc_mean == 0.5
+
+
+def test_default_grids_have_known_parameters_and_sizes():
+    from sphaera.clusterers.registry import CLUSTERERS
+    from sphaera.operators.grids import default_grid
+
+    sizes = {name: len(default_grid(name, 1000, 1000)) for name in CLUSTERERS}
+    assert sizes["plgb_fsc"] == 300 and sizes["my_v0"] == 180 and sizes["my_v1"] == 1620 and sizes["my_v2"] == 192 and sizes["my_v3"] == 8100 and sizes["my_v4"] == 1620
+    assert sizes["gb_pojg_gbdpc"] == 147 and sizes["gb_pojg_gbsc"] == 147 * 29 and sizes["sagbc"] == 192 and sizes["m3w"] == 286 and sizes["gb_dbscan"] == 100
+    assert sizes["gbct"] == sizes["gb_dp"] == sizes["hcdc_nard"] == 1
+    for name, c in CLUSTERERS.items():
+        assert set(default_grid(name, 50, 4)[0]) <= set(c.parameters())
+    assert all(s["p2"] < 5932 for s in default_grid("plgb_fsc", 174, 7909))
