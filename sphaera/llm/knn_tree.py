@@ -35,7 +35,7 @@ BRANCH = 8
 TREE_SAMPLE = 32_768
 SLICE = 32_768
 CALIBRATION = 256
-TARGET = 0.999
+TARGET = 0.9999
 _SLACK = 1e-9
 _FOUND = "rep long, other long, distance double, visit int"
 
@@ -190,6 +190,7 @@ def fit_tree(x: np.ndarray, leaf: int, branch: int = BRANCH, rounds: int = 6) ->
 
 def _fit(leaf: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
         x = matrix(table.column("x"))
         share = len(x) / table.column("n")[0].as_py()
         tree = fit_tree(x, max(2, int(leaf * share)))

@@ -50,9 +50,9 @@ _BREAKS = re.compile(r"\r\n|\r|\n")
 # whether it holds nothing but rules of a table, whether it is a dump, characters that neither prose nor cells use.
 CHARS, ALNUM, ODD, WORDS, COMMONS, WHICH, CELLS, BARS, DIGITS, LAST, RULE, DUMP, NOISE = range(13)
 # A document's sums: words, letters and digits in words, common words, symbols, characters, lines, lines with an end,
-# characters of prose, table, list and junk lines, lines of lists.
-N_WORDS, N_LETTERS, N_COMMON, N_SYMBOLS, N_CHARS, N_LINES, N_ENDS, PROSE, TABLE, LIST, JUNK = range(11)
-SUMS = 11
+# characters of prose, table, list and junk lines, and of lines that may be short parts of wrapped sentences.
+N_WORDS, N_LETTERS, N_COMMON, N_SYMBOLS, N_CHARS, N_LINES, N_ENDS, PROSE, TABLE, LIST, JUNK, PART = range(12)
+SUMS = 12
 _BIT = {w: 1 << (i % 62) for i, w in enumerate(sorted(COMMON))}
 
 
@@ -115,7 +115,7 @@ def join_lines(a: list[int], b: list[int], mid_word: bool) -> list[int]:
 
 
 def line_kind(s: list[int]) -> int | None:
-    """PROSE, TABLE, LIST or JUNK; None for a blank line."""
+    """PROSE, TABLE, LIST, JUNK or PART; None for a blank line."""
     if not s[CHARS]:
         return None
     symbols = s[CHARS] - s[ALNUM] - s[BARS]
@@ -135,7 +135,7 @@ def line_kind(s: list[int]) -> int | None:
         return JUNK if symbols * 2 > s[CHARS] or s[WORDS] > 3 else LIST
     if s[WORDS] > 6 and symbols * 100 > 14 * s[CHARS] and s[DIGITS] * 4 < s[CHARS]:
         return JUNK
-    return LIST
+    return PART if s[WORDS] >= 4 and s[COMMONS] and symbols * 100 <= 14 * s[CHARS] else LIST
 
 
 class Partial:
@@ -192,15 +192,20 @@ def close(sums: list[int], s: list[int]) -> None:
 
 
 def outcome(sums: list[int], distinct: int) -> str | None:
-    """``list``, ``table`` or ``junk`` if most of the text is not sentences."""
-    solid = sums[PROSE] + sums[TABLE] + sums[LIST] + sums[JUNK]
+    """``list``, ``table`` or ``junk`` if most of the text is not sentences.
+
+    Lines that may be parts of wrapped sentences are that where there is at least as much prose beside them, else
+    they are entries of a list.
+    """
+    prose, entries = (sums[PROSE] + sums[PART], sums[LIST]) if sums[PROSE] >= sums[PART] else (sums[PROSE], sums[LIST] + sums[PART])
+    solid = prose + entries + sums[TABLE] + sums[JUNK]
     if not solid:
         return None
     if distinct < KEPT_HASHES and sums[N_WORDS] >= 20 and sums[N_WORDS] >= 8 * distinct:
         return "junk"
-    if sums[PROSE] * 2 >= solid:
+    if prose * 2 >= solid:
         return None
-    rest = {"list": sums[LIST], "table": sums[TABLE], "junk": sums[JUNK]}
+    rest = {"list": entries, "table": sums[TABLE], "junk": sums[JUNK]}
     return max(rest, key=lambda k: (rest[k], k))
 
 
