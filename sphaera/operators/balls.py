@@ -117,3 +117,28 @@ def scatter(members: DataFrame, names: np.ndarray, labels: np.ndarray) -> DataFr
     spark = members.sparkSession
     table = pa.table({"ball": pa.array([str(b) for b in names]), "label": pa.array(np.asarray(labels, np.int64).astype(np.int32))})
     return members.select("sample_id", "ball").join(spark.createDataFrame(table), "ball").select("sample_id", "label")
+
+
+def noise_balls(stats: DataFrame, share: float = 0.2) -> DataFrame:
+    """Adds ``noise``: fewer than 2 rows, or size over radius below ``share`` of its mean over all balls."""
+    density = F.when(F.col("max_radius") > 0, F.col("size") / F.col("max_radius"))
+    mean = stats.agg(F.avg(density).alias("mean"))
+    return stats.crossJoin(F.broadcast(mean)).withColumn("noise", (F.col("size") < 2) | F.coalesce(density < share * F.col("mean"), F.lit(False))).drop("mean")
+
+
+def stop_split(members: DataFrame, label: str, theta: float) -> DataFrame:
+    """(ball, size, purity, stops): whether a ball is kept: fewer than 2 rows, or pure enough and fewer than 8."""
+    size = members.groupBy("ball").agg(F.count("*").alias("size"))
+    return size.join(pseudo_purity(members, label), "ball").withColumn("stops", (F.col("size") < 2) | ((F.col("purity") >= theta) & (F.col("size") < 8)))
+
+
+def cover_radius(graph: DataFrame) -> DataFrame:
+    """(anchor_id, radius, covered): weighted mean distance and number of the samples tied to each anchor."""
+    return graph.groupBy("anchor_id").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("radius"), F.count("*").alias("covered"))
+
+
+def label_confidence(near: DataFrame) -> DataFrame:
+    """(a, confidence): (second - first) / (second + first) of the two smallest centre distances of each sample."""
+    two = near.where("rank <= 2").groupBy("a").agg(F.min("d").alias("first"), F.max("d").alias("second"))
+    total = F.col("first") + F.col("second")
+    return two.select("a", F.when(total > 0, (F.col("second") - F.col("first")) / total).otherwise(F.lit(0.0)).alias("confidence"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sphaera.plans import data_queries, experiments, relational
+from sphaera.plans import ball_rules, data_queries, experiments, relational
 
-QUERIES = {**data_queries.QUERIES, **relational.QUERIES, **experiments.QUERIES}
-SQL = {**data_queries.SQL, **relational.SQL, **experiments.SQL}
+QUERIES = {**data_queries.QUERIES, **relational.QUERIES, **ball_rules.QUERIES, **experiments.QUERIES}
+SQL = {**data_queries.SQL, **relational.SQL, **ball_rules.SQL, **experiments.SQL}
 flagship = experiments.flagship
