@@ -6,7 +6,7 @@ tree into its leaf. A query first meets its own leaf, which bounds the distance
 visits other leaves in the order of a lower bound of their distance (the largest gap to a splitting plane on the
 way down), and no leaf whose bound exceeds that of its k-th neighbour. How many it may visit is calibrated per
 dataset: a bounded sample of queries visits all leaves its bounds allow, which is exact, and the budget becomes
-the number of visits that find ``TARGET`` of their neighbours.
+``MARGIN`` times the number of visits that find ``TARGET`` of their neighbours.
 
 Equal vectors are searched once. Distances are exact; of equal ones the smaller sample comes first.
 
@@ -36,6 +36,7 @@ TREE_SAMPLE = 32_768
 SLICE = 32_768
 CALIBRATION = 256
 TARGET = 0.9999
+MARGIN = 8
 _SLACK = 1e-9
 _FOUND = "rep long, other long, distance double, visit int"
 
@@ -285,7 +286,7 @@ def _large(large: DataFrame, k: int, leaf: int) -> DataFrame:
     few = F.greatest(F.lit(1), F.ceil(F.col("n") / CALIBRATION)).cast("long")
     asked = bounded.join(sizes, "dataset_name").where(F.pmod(F.xxhash64("rep", F.lit(17)), few) == 0).drop("n")
     exact_few = search(asked, None).join(asked.select("rep", "dataset_name"), "rep")
-    budget = exact_few.groupBy("dataset_name").agg(F.ceil(F.percentile("visit", TARGET)).cast("int").alias("budget"))
+    budget = exact_few.groupBy("dataset_name").agg(F.ceil(MARGIN * F.percentile("visit", TARGET)).cast("int").alias("budget"))
     return search(bounded, session.materialize(budget, "budget"))
 
 
