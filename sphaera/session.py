@@ -41,9 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sphaera/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/sphaera/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in this application's part of it."""
+    return f"{_app_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once every result that reads them is written."""
+    delete_path(spark, _app_dir(spark))
 
 
 def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
@@ -83,9 +92,14 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = pathlib.Path(__file__).resolve().parent
-    target = pathlib.Path(tempfile.mkdtemp(prefix="sphaera-code-")) / "sphaera_code.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, str(pathlib.Path(root.name) / f.relative_to(root)))
-    spark.sparkContext.addPyFile(str(target))
+    with tempfile.TemporaryDirectory(prefix="sphaera-code-") as folder:
+        local = pathlib.Path(folder) / "sphaera_code.zip"
+        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(pathlib.Path(root.name) / f.relative_to(root)))
+        shared = f"{shared_dir(spark)}/sphaera-code/{app}/sphaera_code.zip"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        system = path(shared).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.copyFromLocalFile(path(f"file://{local}"), path(shared))
+    spark.sparkContext.addPyFile(shared)
     _SHIPPED.add(app)

@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from sphaera.operators import compaction, distance, graph, scaling, schema_drift, windows
-from sphaera.session import scratch_path
+from sphaera.session import delete_path, materialize, path_exists, scratch_path
 from sphaera.sources import files
 
 DAY = dt.datetime(2024, 1, 1)
@@ -212,3 +212,14 @@ def test_order_statistics_of_long_columns(spark):
     for place in (0, 1, 1499, 2998, 2999):
         assert windows.order_statistic(df, "v", place, limit=20) == sorted(values[:-1])[place]
     assert windows.order_statistic(df.limit(0), "v", 0) is None
+
+
+def test_scratch_tables_live_in_the_shared_folder(spark):
+    path = scratch_path(spark, "t")
+    assert spark.sparkContext.applicationId in path
+    spark.range(3).write.parquet(path)
+    assert path_exists(spark, path)
+    delete_path(spark, path)
+    assert not path_exists(spark, path)
+    kept = materialize(spark.range(5).withColumnRenamed("id", "v"))
+    assert sorted(r.v for r in kept.collect()) == list(range(5)) and kept.inputFiles()[0].find("sphaera") > 0
