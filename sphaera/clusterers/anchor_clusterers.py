@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sphaera import session
@@ -79,8 +79,8 @@ def kmeans(samples: DataFrame, k: int, seed: int, beta: float | None = None, rou
         if beta:
             weight = dispersion ** (-1.0 / (beta - 1.0))
             weight /= weight.sum()
-        cost = round(float((weight ** (beta or 1.0) * dispersion).sum()), 6)
-        if cost == before:
+        cost = float((weight ** (beta or 1.0) * dispersion).sum())
+        if before is not None and abs(before - cost) <= 1e-6 * max(cost, 1e-12):
             break
         before = cost
     c, w = centers, weight
@@ -212,7 +212,7 @@ def _anchors(kind: str, chosen: DataFrame, pseudo: DataFrame, theta: float, p2:
 
     members = balls.generate(told, lambda z: K.split_all(z, split))
     plain = members.select("sample_id", "ball", F.slice("features", F.lit(1), F.size("features") - 2).alias("features"))
-    mid = balls.centers(plain).withColumn("sample_id", (F.row_number().over(Window.orderBy("ball")) - 1).cast("long"))
+    mid = balls.centers(plain).withColumn("sample_id", F.xxhash64("ball"))
     return session.materialize(mid.select("sample_id", F.col("center").alias("features")), "anchors")
 
 
@@ -227,7 +227,7 @@ def _pipeline(kind: str, samples: DataFrame, k: int, p1: int | None, p2: int | N
     m = anchors.count()
     if m > MAX_ANCHORS:
         grouped = balls.generate(anchors, lambda x: K.split_all(x, lambda y: K.by_two_means(y, seed) if len(y) > -(-2 * m // MAX_ANCHORS) else None))
-        mid = balls.centers(grouped).withColumn("sample_id", (F.row_number().over(Window.orderBy("ball")) - 1).cast("long"))
+        mid = balls.centers(grouped).withColumn("sample_id", F.xxhash64("ball"))
         anchors = session.materialize(mid.select("sample_id", F.col("center").alias("features")), "anchors")
     graph = session.materialize(distance.anchor_graph(chosen, anchors, min(anchors_near, m)), "graph")
     return transfer_cut(graph, k, seed)

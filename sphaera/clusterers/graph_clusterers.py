@@ -32,7 +32,7 @@ def gb_dbscan(samples: DataFrame, k: int = 0, ratio: float = 0.5, seed: int = 0)
         share = math.ceil(n / COVER_LIMIT * 4)
         members = balls.generate(samples, lambda x: K.split_all(x, lambda y: K.by_two_means(y, 1) if len(y) > share else None))
         mid = balls.centers(members)
-        numbered = mid.withColumn("sample_id", F.row_number().over(Window.orderBy("ball")).cast("long"))
+        numbered = mid.withColumn("sample_id", F.xxhash64("ball"))
         numbered = session.materialize(numbered.select("ball", "sample_id", F.col("center").alias("features")), "covers")
         label = gb_dbscan(numbered.select("sample_id", "features"), k, ratio)
         return members.select("sample_id", "ball").join(numbered.join(label, "sample_id").select("ball", "label"), "ball").select("sample_id", "label")
@@ -87,7 +87,7 @@ def sagbc(samples: DataFrame, k: int = 0, tau: float = 0.1, sample_size: int | N
     bound = max(2, math.ceil(math.sqrt(t))) if sample_size is None else 8
     drawn = samples.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(t)
     cut = balls.generate(drawn, lambda x: K.split_all(x, lambda y: K.by_farthest(y, False) if len(y) > bound else None))
-    mid = balls.centers(cut).withColumn("sample_id", (F.row_number().over(Window.orderBy("ball")) - 1).cast("long"))
+    mid = balls.centers(cut).withColumn("sample_id", F.xxhash64("ball"))
     anchors = session.materialize(mid.select("sample_id", F.col("center").alias("features")), "anchors")
     graph = session.materialize(distance.anchor_graph(samples, anchors, min(neighbours, anchors.count())), "graph")
     radius = graph.groupBy("anchor_id").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("radius"))
