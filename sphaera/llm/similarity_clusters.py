@@ -10,7 +10,8 @@ takes the place of the Jaccard verification.
 
 Datasets that fit in a task are banded and verified there. Larger ones send each band's buckets to tasks; a
 bucket of more than ``BUCKET`` vectors is cut into pieces and every pair of pieces is a task, so no pair is lost.
-Tasks report a spanning star of each component they see, never all pairs, and how many similar vectors each has.
+Tasks report a spanning star of each component they see, never all pairs. How many similar vectors each vector has is
+counted afterwards among all vectors of its cluster, block by block where a cluster doesn't fit in a task.
 
 Defined results for odd input: unusable samples and unknown datasets are in no cluster; equal vectors are one
 vector with several samples, so copies are similar to each other; repeated rows are one sample; null or wrong
@@ -139,30 +140,25 @@ def _ties(x: np.ndarray, ids: np.ndarray, within: float) -> tuple[np.ndarray, np
     return degree, ids[up]
 
 
-_OUT = "rep long, root long, degree long, up long, up_degree long, whole boolean"
+_OUT = "rep long, root long, whole boolean"
 
 
-def _emit(ids: np.ndarray, labels: np.ndarray, x: np.ndarray, within: float, whole: bool) -> pa.RecordBatch | None:
-    """A row for each vector of a component of at least two: its root, degree and stronger neighbour."""
-    rows = []
-    order = np.argsort(labels, kind="stable")
-    cuts = np.nonzero(np.diff(labels[order]))[0] + 1
-    for who in np.split(order, cuts):
-        if len(who) < 2:
-            continue
-        degree, up = _ties(x[who], ids[who], within)
-        known = dict(zip(ids[who].tolist(), degree.tolist()))
-        rows.append((ids[who], np.full(len(who), ids[who].min()), degree, up, np.array([known[u] for u in up.tolist()])))
-    if not rows:
+def _emit(ids: np.ndarray, labels: np.ndarray, whole: bool) -> pa.RecordBatch | None:
+    """A row for each vector of a component of at least two, with its root."""
+    _, component, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    roots = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(roots, component, ids)
+    of_two = sizes[component] > 1
+    if not of_two.any():
         return None
-    columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([whole] * len(columns[0]))], names=["rep", "root", "degree", "up", "up_degree", "whole"])
+    columns = [pa.array(ids[of_two].astype(np.int64)), pa.array(roots[component][of_two]), pa.array(np.full(int(of_two.sum()), whole))]
+    return pa.RecordBatch.from_arrays(columns, names=["rep", "root", "whole"])
 
 
 def _whole_datasets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in sorted_groups(batches, 1):
         ids, x, within = t.column("rep").to_numpy(), matrix(t.column("x")), float(t.column("within")[0].as_py())
-        out = _emit(ids, link_bands(x, within, band_keys(x, within)), x, within, True)
+        out = _emit(ids, link_bands(x, within, band_keys(x, within)), True)
         if out is not None:
             yield out
 
@@ -196,15 +192,15 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(x), step):
                 i, j = np.nonzero(near(x[lo : lo + step], x, within))
                 _join(labels, i + lo, j)
-        out = _emit(ids, labels, x, within, False)
+        out = _emit(ids, labels, False)
         if out is not None:
             yield out
 
 
 def similarity_links(vectors: DataFrame, whole: int = WHOLE, bucket: int = BUCKET) -> DataFrame:
-    """(rep, root, degree, up, up_degree, whole): what the tasks saw of each vector that has similar ones."""
+    """(rep, root, whole): the components the tasks saw, of each vector that has similar ones."""
     sizes = vectors.groupBy("dataset_name").agg(F.count("*").alias("n"))
-    sized = session.materialize(vectors.join(sizes, "dataset_name").select("dataset_name", "rep", "x", "within", "n"), "vectors")
+    sized = vectors.join(sizes, "dataset_name").select("dataset_name", "rep", "x", "within", "n")
     columns = ["dataset_name", "rep", "x", "within"]
     small = sized.where(F.col("n") <= whole).select(*columns).repartition("dataset_name").sortWithinPartitions("dataset_name").mapInArrow(_whole_datasets, _OUT)
     large = sized.where(F.col("n") > whole).select(*columns)
@@ -226,17 +222,107 @@ def similarity_links(vectors: DataFrame, whole: int = WHOLE, bucket: int = BUCKE
     return session.materialize(small.unionByName(buckets), "links")
 
 
+def _degrees_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in sorted_groups(batches, 1):
+        ids = t.column("rep").to_numpy()
+        degree, up = _ties(matrix(t.column("x")), ids, float(t.column("within")[0].as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(degree), pa.array(up)], names=["rep", "degree", "up"])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict[str, np.ndarray]], float]]:
+    """The two blocks of each pair of blocks; of a block with itself the one."""
+    for t in sorted_groups(batches, 1):
+        right = t.column("right").to_numpy()
+        columns = {"x": matrix(t.column("x"))} | {c: t.column(c).to_numpy() for c in t.column_names if c not in ("pair", "right", "x", "within")}
+        yield [{c: v[right == s] for c, v in columns.items()} for s in np.unique(right)], float(t.column("within")[0].as_py())
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for sides, within in _sides(batches):
+        a, b = sides[0], sides[-1]
+        here, there = np.zeros(len(a["rep"]), np.int64), np.zeros(len(b["rep"]), np.int64)
+        step = max(1, (1 << 22) // len(there))
+        for lo in range(0, len(here), step):
+            similar = near(a["x"][lo : lo + step], b["x"], within)
+            here[lo : lo + step] = similar.sum(1)
+            there += similar.sum(0)
+        for side, n in [(a, here), (b, there)][: len(sides)]:
+            yield pa.RecordBatch.from_arrays([pa.array(side["rep"]), pa.array(n)], names=["rep", "n"])
+
+
+def _lead_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for sides, within in _sides(batches):
+        for a, b in [(sides[0], sides[-1]), (sides[-1], sides[0])][: len(sides)]:
+            order = np.lexsort((b["rep"], -b["degree"]))
+            ids, degree, y = b["rep"][order], b["degree"][order], b["x"][order]
+            step = max(1, (1 << 22) // len(ids))
+            for lo in range(0, len(a["rep"]), step):
+                similar = near(a["x"][lo : lo + step], y, within)
+                some, first = similar.any(1), similar.argmax(1)
+                columns = [a["rep"][lo : lo + step][some], ids[first[some]], degree[first[some]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "up", "up_degree"])
+
+
+def _paired_blocks(rows: DataFrame, bucket: int) -> DataFrame:
+    """(rep, pair, right): the pairs of blocks of at most about ``bucket`` vectors in which a vector is compared.
+
+    A cluster is cut into slabs a little more than ``within`` wide along its widest coordinate, so similar
+    vectors are in the same or in neighbouring slabs; slabs are cut into pieces.
+    """
+    spans = rows.select("cluster", F.posexplode("x").alias("at", "v")).groupBy("cluster", "at").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    axes = spans.groupBy("cluster").agg(F.max_by(F.struct("at", "low"), F.col("high") - F.col("low")).alias("axis"))
+    along = (F.get("x", F.col("axis.at")) - F.col("axis.low")) / (F.col("within") * 1.000001)
+    slabs = rows.join(axes, "cluster").select("cluster", "rep", F.when(F.col("within") > 0, F.floor(along)).otherwise(F.lit(0)).cast("long").alias("slab"))
+    slabs = session.materialize(slabs, "slabs")
+    cut = session.materialize(slabs.groupBy("cluster", "slab").agg(F.ceil(F.count("*") / bucket).cast("int").alias("pieces")), "pieces")
+    placed = slabs.join(cut, ["cluster", "slab"]).select("cluster", "rep", "slab", F.pmod(F.xxhash64("rep"), "pieces").cast("int").alias("piece"))
+    blocks = cut.select("cluster", "slab", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    other = blocks.select("cluster", F.col("slab").alias("slab_b"), F.col("piece").alias("piece_b"))
+    nearby = blocks.withColumn("slab_b", F.explode(F.array(F.col("slab"), F.col("slab") + 1))).join(other, ["cluster", "slab_b"])
+    nearby = nearby.where((F.col("slab_b") > F.col("slab")) | (F.col("piece_b") >= F.col("piece")))
+    pairs = session.materialize(nearby.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    left = pairs.select("cluster", "slab", "piece", "pair", F.lit(False).alias("right"))
+    right = pairs.where("slab_b > slab or piece_b > piece").select("cluster", F.col("slab_b").alias("slab"), F.col("piece_b").alias("piece"), "pair", F.lit(True).alias("right"))
+    return placed.join(left.unionByName(right), ["cluster", "slab", "piece"]).select("rep", "pair", "right")
+
+
+def vector_degrees(vectors: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(rep, degree, up) of vectors (cluster, rep, x, within).
+
+    The degree counts all similar vectors of the cluster, whatever bands they met in; up is the similar vector
+    of greatest degree, itself included, smaller ids first. Clusters of more than ``bucket`` vectors are cut
+    into blocks, of which all that can hold similar vectors are compared: once for the degrees, once for up.
+    """
+    counts = vectors.groupBy("cluster").agg(F.count("*").alias("m"))
+    sized = session.materialize(vectors.join(counts, "cluster").select("cluster", "rep", "x", "within", "m"), "clustered")
+    small = sized.where(F.col("m") <= bucket).drop("m").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_degrees_whole, "rep long, degree long, up long")
+    large = sized.where(F.col("m") > bucket).drop("m")
+    if large.isEmpty():
+        return small
+    paired = session.materialize(_paired_blocks(large, bucket), "paired")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return paired.join(rows, "rep").select("pair", "right", *[c for c in rows.columns if c != "cluster"]).repartition("pair").sortWithinPartitions("pair")
+
+    degrees = compared(large).mapInArrow(_count_pairs, "rep long, n long").groupBy("rep").agg((F.sum("n") - 1).alias("degree"))
+    degrees = session.materialize(degrees, "large-degrees")
+    led = compared(large.join(degrees, "rep")).mapInArrow(_lead_pairs, "rep long, up long, up_degree long")
+    led = led.groupBy("rep").agg(F.max_by("up", F.struct("up_degree", -F.col("up"))).alias("up"))
+    return small.unionByName(degrees.join(led, "rep").select("rep", "degree", "up"))
+
+
 def clustered_samples(dataset: DataFrame, catalog: DataFrame, least: int = 3, whole: int = WHOLE, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: cluster, sample_id, rep), links and samples; clusters are named after their smallest vector."""
+    """(members: cluster, sample_id, rep), vectors and samples; clusters are named after their smallest vector."""
     samples = session.materialize(usable_samples(dataset, catalog), "samples")
     vectors, copies = distinct_vectors(samples)
+    vectors = session.materialize(vectors, "vectors")
     links = similarity_links(vectors, whole, bucket)
     spread = connected_components(links.where("not whole").select("rep", "root"), "rep", "root")
     labels = links.where("whole").select(F.col("rep").alias("node"), F.col("root").alias("component")).unionByName(spread)
     named = copies.join(labels, copies["rep"] == labels["node"], "left").select("sample_id", "rep", F.coalesce("component", "rep").alias("cluster"))
     named = session.materialize(named, "named")
     sizes = named.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    return named.join(sizes, "cluster"), links, samples
+    return named.join(sizes, "cluster"), vectors, samples
 
 
 def cluster_chain(dataset: DataFrame, catalog: DataFrame, whole: int = WHOLE, bucket: int = BUCKET) -> DataFrame:
@@ -245,7 +331,7 @@ def cluster_chain(dataset: DataFrame, catalog: DataFrame, whole: int = WHOLE, bu
     return successors(members, "cluster", "sample_id").select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
 
 
-def describe_clusters(dataset: DataFrame, catalog: DataFrame, typical: int = 3) -> DataFrame:
+def describe_clusters(dataset: DataFrame, catalog: DataFrame, typical: int = 3, whole: int = WHOLE, bucket: int = BUCKET) -> DataFrame:
     """One row a group: cluster, group_id, dataset_name, size, loose, typical and agreement with ``y``.
 
     A cluster is loose if no member is similar to half of the others. A loose cluster is split: each vector
@@ -253,9 +339,10 @@ def describe_clusters(dataset: DataFrame, catalog: DataFrame, typical: int = 3)
     to one medoid, named after the smallest vector of the group. Typical members are those of greatest degree,
     smaller ids first. The agreement is the share of the most frequent ``y`` among the members with a ``y``.
     """
-    members, links, samples = clustered_samples(dataset, catalog)
-    one = links.groupBy("rep").agg(F.max("degree").alias("degree"), F.max_by("up", F.struct("up_degree", -F.col("up"))).alias("up"))
-    one = session.materialize(members.join(one, "rep", "left").select("cluster", "size", "sample_id", "rep", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("up", "rep").alias("up")), "degrees")
+    members, vectors, samples = clustered_samples(dataset, catalog, whole=whole, bucket=bucket)
+    members = session.materialize(members, "clusters")
+    degrees = vector_degrees(vectors.join(members.where("sample_id = rep").select("cluster", "rep"), "rep").select("cluster", "rep", "x", "within"), bucket)
+    one = session.materialize(members.join(degrees, "rep").select("cluster", "size", "sample_id", "rep", "degree", "up"), "degrees")
     loose = one.groupBy("cluster").agg((F.max("degree") < LOOSE * (F.max("size") - 1)).alias("loose"))
     medoids = connected_components(one.join(loose.where("loose"), "cluster").select("rep", "up"), "rep", "up")
     grouped = one.join(loose, "cluster").join(medoids, one["rep"] == medoids["node"], "left")

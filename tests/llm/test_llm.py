@@ -122,6 +122,50 @@ def test_described_clusters(spark):
     assert sum(g["size"] for g in groups) == 9
 
 
+def described(data, within):
+    """{group_id: (cluster, size, loose, typical)} by looking at all pairs of distinct vectors."""
+    ok = {i: (n, tuple(x)) for i, n, x, _ in data if n and x and len(x) == 2 and all(v is not None and math.isfinite(v) for v in x)}
+    rep = {i: min(j for j in ok if ok[j] == ok[i]) for i in ok}
+    reps = sorted(set(rep.values()))
+    near = {a: [b for b in reps if ok[a][0] == ok[b][0] and math.dist(ok[a][1], ok[b][1]) <= within] for a in reps}
+    degree = {a: len(near[a]) - 1 for a in reps}
+    up = {a: min(near[a], key=lambda b: (-degree[b], b)) for a in reps}
+    cluster = {}
+    for a in reps:
+        todo = [] if a in cluster else [a]
+        while todo:
+            b = todo.pop()
+            if b not in cluster:
+                cluster[b] = a
+                todo += near[b]
+    top = {}
+    for a in reps:
+        m = a
+        while up[m] != m:
+            m = up[m]
+        top[a] = m
+    out = {}
+    for c in set(cluster.values()):
+        members = [i for i in sorted(ok) if cluster[rep[i]] == c]
+        if len(members) < 3:
+            continue
+        loose = max(degree[rep[i]] for i in members) < 0.5 * (len(members) - 1)
+        for g in {top[rep[i]] for i in members} if loose else {None}:
+            group = [i for i in members if g is None or top[rep[i]] == g]
+            out[min(rep[i] for i in group)] = (c, len(group), loose, sorted(group, key=lambda i: (-degree[rep[i]], i))[:3])
+    return out
+
+
+@pytest.mark.parametrize("whole,bucket", [(8192, 8192), (20, 8192), (20, 10)])
+def test_described_clusters_equal_all_pairs(spark, whole, bucket):
+    chain = [(3000 + i, "d", [100.0 + 0.3 * i, 0.1 * (i % 3)], i % 2) for i in range(60)]
+    tight = [(4000 + i, "d", [300.0 + 0.01 * i, 0.0], 1) for i in range(50)]
+    data = cloud() + chain + tight
+    got = {r.group_id: (r.cluster, r["size"], r.loose, r.typical) for r in similarity_clusters.describe_clusters(*points(spark, data), whole=whole, bucket=bucket).collect()}
+    want = described(data, 1.0)
+    assert got == want and {loose for _, _, loose, _ in want.values()} == {True, False}
+
+
 def test_exact_and_near_agree_at_the_edge():
     a = np.array([[0.0, 0.0], [0.3, 0.4]])
     assert vectors.near(a, a, 0.5)[0, 1] and not vectors.near(a, a, np.nextafter(0.5, 0))[0, 1]
