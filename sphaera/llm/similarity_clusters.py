@@ -125,13 +125,16 @@ def link_bands(x: np.ndarray, within: float, keys: np.ndarray) -> np.ndarray:
     return labels
 
 
-def _ties(x: np.ndarray, ids: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
-    """Degree of each vector and the similar vector of greatest degree, itself included, smaller ids first."""
+def _ties(x: np.ndarray, ids: np.ndarray, copies: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """Degree of each vector and the similar vector of greatest degree, itself included, smaller ids first.
+
+    The degree counts samples: the copies of the similar vectors and the other copies of the vector itself.
+    """
     n = len(x)
     degree = np.empty(n, np.int64)
     step = max(1, (1 << 22) // max(1, n))
     for lo in range(0, n, step):
-        degree[lo : lo + step] = near(x[lo : lo + step], x, within).sum(1) - 1
+        degree[lo : lo + step] = near(x[lo : lo + step], x, within) @ copies.astype(float) - 1
     place = np.empty(n, np.int64)
     place[np.lexsort((ids, -degree))] = np.arange(n)
     up = np.empty(n, np.int64)
@@ -225,7 +228,7 @@ def similarity_links(vectors: DataFrame, whole: int = WHOLE, bucket: int = BUCKE
 def _degrees_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in sorted_groups(batches, 1):
         ids = t.column("rep").to_numpy()
-        degree, up = _ties(matrix(t.column("x")), ids, float(t.column("within")[0].as_py()))
+        degree, up = _ties(matrix(t.column("x")), ids, t.column("copies").to_numpy(), float(t.column("within")[0].as_py()))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(degree), pa.array(up)], names=["rep", "degree", "up"])
 
 
@@ -244,8 +247,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 22) // len(there))
         for lo in range(0, len(here), step):
             similar = near(a["x"][lo : lo + step], b["x"], within)
-            here[lo : lo + step] = similar.sum(1)
-            there += similar.sum(0)
+            here[lo : lo + step] = similar @ b["copies"].astype(float)
+            there += (a["copies"][lo : lo + step].astype(float) @ similar).astype(np.int64)
         for side, n in [(a, here), (b, there)][: len(sides)]:
             yield pa.RecordBatch.from_arrays([pa.array(side["rep"]), pa.array(n)], names=["rep", "n"])
 
@@ -287,14 +290,14 @@ def _paired_blocks(rows: DataFrame, bucket: int) -> DataFrame:
 
 
 def vector_degrees(vectors: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(rep, degree, up) of vectors (cluster, rep, x, within).
+    """(rep, degree, up) of vectors (cluster, rep, x, within, copies).
 
-    The degree counts all similar vectors of the cluster, whatever bands they met in; up is the similar vector
-    of greatest degree, itself included, smaller ids first. Clusters of more than ``bucket`` vectors are cut
+    The degree counts the samples of all similar vectors of the cluster, whatever bands they met in, and the other
+    copies of the vector; up is the similar vector of greatest degree, itself included, smaller ids first. Clusters of more than ``bucket`` vectors are cut
     into blocks, of which all that can hold similar vectors are compared: once for the degrees, once for up.
     """
     counts = vectors.groupBy("cluster").agg(F.count("*").alias("m"))
-    sized = session.materialize(vectors.join(counts, "cluster").select("cluster", "rep", "x", "within", "m"), "clustered")
+    sized = session.materialize(vectors.join(counts, "cluster").select("cluster", "rep", "x", "within", "copies", "m"), "clustered")
     small = sized.where(F.col("m") <= bucket).drop("m").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_degrees_whole, "rep long, degree long, up long")
     large = sized.where(F.col("m") > bucket).drop("m")
     if large.isEmpty():
@@ -334,14 +337,14 @@ def cluster_chain(dataset: DataFrame, catalog: DataFrame, whole: int = WHOLE, bu
 def describe_clusters(dataset: DataFrame, catalog: DataFrame, typical: int = 3, whole: int = WHOLE, bucket: int = BUCKET) -> DataFrame:
     """One row a group: cluster, group_id, dataset_name, size, loose, typical and agreement with ``y``.
 
-    A cluster is loose if no member is similar to half of the others. A loose cluster is split: each vector
+    A cluster is loose if no member is similar to half of the others, where copies are members of their own. A loose cluster is split: each vector
     follows its similar vector of greatest degree, up to a medoid that has none greater; a group is what leads
     to one medoid, named after the smallest vector of the group. Typical members are those of greatest degree,
     smaller ids first. The agreement is the share of the most frequent ``y`` among the members with a ``y``.
     """
     members, vectors, samples = clustered_samples(dataset, catalog, whole=whole, bucket=bucket)
     members = session.materialize(members, "clusters")
-    degrees = vector_degrees(vectors.join(members.where("sample_id = rep").select("cluster", "rep"), "rep").select("cluster", "rep", "x", "within"), bucket)
+    degrees = vector_degrees(vectors.join(members.where("sample_id = rep").select("cluster", "rep"), "rep").select("cluster", "rep", "x", "within", "copies"), bucket)
     one = session.materialize(members.join(degrees, "rep").select("cluster", "size", "sample_id", "rep", "degree", "up"), "degrees")
     loose = one.groupBy("cluster").agg((F.max("degree") < LOOSE * (F.max("size") - 1)).alias("loose"))
     medoids = connected_components(one.join(loose.where("loose"), "cluster").select("rep", "up"), "rep", "up")

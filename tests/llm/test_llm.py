@@ -123,12 +123,12 @@ def test_described_clusters(spark):
 
 
 def described(data, within):
-    """{group_id: (cluster, size, loose, typical)} by looking at all pairs of distinct vectors."""
+    """{group_id: (cluster, size, loose, typical)} by looking at all pairs of samples."""
     ok = {i: (n, tuple(x)) for i, n, x, _ in data if n and x and len(x) == 2 and all(v is not None and math.isfinite(v) for v in x)}
     rep = {i: min(j for j in ok if ok[j] == ok[i]) for i in ok}
     reps = sorted(set(rep.values()))
     near = {a: [b for b in reps if ok[a][0] == ok[b][0] and math.dist(ok[a][1], ok[b][1]) <= within] for a in reps}
-    degree = {a: len(near[a]) - 1 for a in reps}
+    degree = {a: sum(rep[i] in near[a] for i in ok) - 1 for a in reps}
     up = {a: min(near[a], key=lambda b: (-degree[b], b)) for a in reps}
     cluster = {}
     for a in reps:
@@ -166,6 +166,13 @@ def test_described_clusters_equal_all_pairs(spark, whole, bucket):
     assert got == want and {loose for _, _, loose, _ in want.values()} == {True, False}
 
 
+def test_copies_count_in_degrees(spark):
+    data = [(i, "d", [5.0, 5.0], 1) for i in range(4)] + [(10 + i, "d", [50.0 + 0.5 * (i % 2), 0.0], 1) for i in range(4)]
+    data += [(20 + i, "d", [100.0 + 0.9 * i, 0.0], 1) for i in range(5)] + [(30 + i, "d", [103.6, 0.0], 1) for i in range(4)]
+    got = {r.group_id: (r.cluster, r["size"], r.loose, r.typical) for r in similarity_clusters.describe_clusters(*points(spark, data)).collect()}
+    assert got == described(data, 1.0) == {0: (0, 4, False, [0, 1, 2]), 10: (10, 4, False, [10, 11, 12]), 20: (20, 9, False, [23, 24, 30])}
+
+
 def test_exact_and_near_agree_at_the_edge():
     a = np.array([[0.0, 0.0], [0.3, 0.4]])
     assert vectors.near(a, a, 0.5)[0, 1] and not vectors.near(a, a, np.nextafter(0.5, 0))[0, 1]
