@@ -247,27 +247,28 @@ def drift_report(run_files: DataFrame, run_lines: DataFrame) -> tuple[DataFrame,
 
 
 def consistent_table(run_files: DataFrame, run_lines: DataFrame) -> DataFrame:
-    """All runs of all files in one table, one row for a run and field.
+    """All runs of all files of the experiments in one table, one row for a run and field.
 
     A field keeps the name it had when it first appeared in its experiment. Conflicting types stay side by side
     as typed branches (``as_integer``, ``as_decimal``, ``as_text``) next to the canonical text. Of a run that
-    several files repeat, the value in the file written last counts.
+    several files repeat, the value in the file written last counts. A line without a ``prediction_path`` equals
+    no other line and is a run of its own: its path is null, ``file_id`` and ``line_no`` are its key (null else).
     """
     changes, headers, runs = drift_report(run_files, run_lines)
     lineage = changes.where("drift = 'field'").select("experiment", "file_id", "field_name", "canonical")
     order = run_files.where("file_id is not null").groupBy("file_id").agg(F.min("written_at").alias("written_at"))
     cells = (
-        runs.where("run is not null")
-        .join(headers.select("file_id", "columns"), "file_id")
+        runs.join(headers.select("file_id", "columns"), "file_id")
         .join(order, "file_id")
         .select("file_id", "written_at", "line_no", "run", F.explode(F.arrays_zip(F.col("columns").alias("field"), F.col("cells").alias("value"))).alias("p"))
         .where("p.value is not null")
         .select("file_id", "written_at", "line_no", "run", F.col("p.field").alias("field_name"), F.col("p.value").alias("value"))
     )
     latest = F.struct(F.coalesce("written_at", F.timestamp_seconds(F.lit(0))), "file_id", -F.col("line_no"))
+    own = [F.when(F.col("run").isNull(), F.col(c)).alias(f"key_{c}") for c in ("file_id", "line_no")]
     return (
         cells.join(lineage, ["file_id", "field_name"])
-        .groupBy("experiment", F.col("run").alias("prediction_path"), F.col("canonical").alias("field"))
+        .groupBy("experiment", F.col("run").alias("prediction_path"), *own, F.col("canonical").alias("field"))
         .agg(F.max_by("value", latest).alias("value"))
         .select(
             "experiment",
@@ -277,5 +278,7 @@ def consistent_table(run_files: DataFrame, run_lines: DataFrame) -> DataFrame:
             F.when(F.col("value").rlike(NUMBER), F.col("value").cast("double")).alias("as_decimal"),
             F.when(~F.col("value").rlike(NUMBER), F.col("value")).alias("as_text"),
             "value",
+            F.col("key_file_id").alias("file_id"),
+            F.col("key_line_no").alias("line_no"),
         )
     )

@@ -67,6 +67,15 @@ def test_consistent_table_keeps_first_names_and_typed_branches(spark):
     assert rows["r3", "p1"].as_text == "count:5" and rows["r2", "p1"].as_integer == 4
 
 
+def test_consistent_table_keeps_lines_without_a_path(spark):
+    a = ["alg,p1,prediction_path", "x,3,r1", "x,4", "y,5,NaN", "x,4"]
+    b = ["alg,p1", "z,6"]
+    rows = {(r.prediction_path, r.file_id, r.line_no, r.field, r.value) for r in schema_drift.consistent_table(*logs(spark, [a, b])).collect()}
+    path = {("r1", None, None, "alg", "x"), ("r1", None, None, "p1", "3"), ("r1", None, None, "prediction_path", "r1")}
+    cut = {(None, 1, n, f, v) for n, alg, p1 in [(2, "x", "4"), (3, "y", "5"), (4, "x", "4")] for f, v in [("alg", alg), ("p1", p1)]}
+    assert rows == path | cut | {(None, 2, 1, "alg", "z"), (None, 2, 1, "p1", "6")}
+
+
 def test_odd_quotes_are_cells():
     assert schema_drift._split('a,"9,50",b', ",") == ["a", "9,50", "b"]
     assert schema_drift._split('a,"9', ",") == ["a", "9"]
