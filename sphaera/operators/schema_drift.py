@@ -238,7 +238,8 @@ def drift_report(run_files: DataFrame, run_lines: DataFrame) -> tuple[DataFrame,
         files.select("experiment", "written_at", "file_id", "names")
         .join(unions, "file_id", "left")
         .join(named, "file_id", "left")
-        .repartition("experiment")
+        .withColumn("place", F.xxhash64("experiment", F.lit(1)))
+        .repartition("place")
         .sortWithinPartitions("experiment", F.col("written_at").asc_nulls_first(), "file_id")
         .select("experiment", "file_id", "names", "unions", "renames")
     )

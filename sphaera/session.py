@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cores: str = "8", app: str = "sphaera", shuffle_partitions: int = 8) -> SparkSession:
@@ -63,6 +64,16 @@ def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_group(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with all rows of a group in one task and groups in order, for operators that read sorted groups.
+
+    Rows are placed by a hash of their own instead of by ``keys``: behind a join or aggregate on the same keys the planner
+    would drop the exchange as needless, and adaptive execution could then split a group among tasks.
+    """
+    placed = df.withColumn("_place", F.xxhash64(F.lit(len(keys)), *[F.col(k) for k in keys])).repartition("_place")
+    return placed.sortWithinPartitions(*keys).drop("_place")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that is no longer read."""
     jvm = spark.sparkContext._jvm
