@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sphaera.operators import compaction, distance, graph, scaling, schema_drift, windows
 from sphaera.session import delete_path, materialize, path_exists, scratch_path
@@ -232,3 +233,14 @@ def test_scratch_tables_live_in_the_shared_folder(spark):
     assert not path_exists(spark, path)
     kept = materialize(spark.range(5).withColumnRenamed("id", "v"))
     assert sorted(r.v for r in kept.collect()) == list(range(5)) and kept.inputFiles()[0].find("sphaera") > 0
+
+
+def test_groups_keep_their_own_exchange_behind_an_aggregate_on_the_same_keys(spark):
+    from sphaera import session
+
+    sums = spark.range(100).selectExpr("id % 7 AS k", "id AS v").groupBy("k").agg(F.sum("v").alias("v"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan(sums.repartition("k"))  # the planner drops the plain one
+    grouped = session.by_group(sums, "k")
+    assert "REPARTITION_BY_COL" in plan(grouped)
+    assert grouped.columns == ["k", "v"] and grouped.count() == 7
