@@ -205,7 +205,7 @@ def similarity_links(vectors: DataFrame, whole: int = WHOLE, bucket: int = BUCKE
     sizes = vectors.groupBy("dataset_name").agg(F.count("*").alias("n"))
     sized = vectors.join(sizes, "dataset_name").select("dataset_name", "rep", "x", "within", "n")
     columns = ["dataset_name", "rep", "x", "within"]
-    small = sized.where(F.col("n") <= whole).select(*columns).repartition("dataset_name").sortWithinPartitions("dataset_name").mapInArrow(_whole_datasets, _OUT)
+    small = session.by_group(sized.where(F.col("n") <= whole).select(*columns), "dataset_name").mapInArrow(_whole_datasets, _OUT)
     large = sized.where(F.col("n") > whole).select(*columns)
     if large.isEmpty():
         return session.materialize(small, "links")
@@ -221,7 +221,7 @@ def similarity_links(vectors: DataFrame, whole: int = WHOLE, bucket: int = BUCKE
         other = F.explode(F.sequence(F.lit(0), (F.coalesce("pieces", F.lit(1)) - 1).cast("int")))
         pieced = rows.join(hot, by, "left").withColumn("own", own).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     keys = [*by, "i", "j"]
-    buckets = pieced.select(*keys, "rep", "x", "within").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_buckets, _OUT)
+    buckets = session.by_group(pieced.select(*keys, "rep", "x", "within"), *keys).mapInArrow(_buckets, _OUT)
     return session.materialize(small.unionByName(buckets), "links")
 
 
@@ -298,14 +298,14 @@ def vector_degrees(vectors: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     counts = vectors.groupBy("cluster").agg(F.count("*").alias("m"))
     sized = session.materialize(vectors.join(counts, "cluster").select("cluster", "rep", "x", "within", "copies", "m"), "clustered")
-    small = sized.where(F.col("m") <= bucket).drop("m").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_degrees_whole, "rep long, degree long, up long")
+    small = session.by_group(sized.where(F.col("m") <= bucket).drop("m"), "cluster").mapInArrow(_degrees_whole, "rep long, degree long, up long")
     large = sized.where(F.col("m") > bucket).drop("m")
     if large.isEmpty():
         return small
     paired = session.materialize(_paired_blocks(large, bucket), "paired")
 
     def compared(rows: DataFrame) -> DataFrame:
-        return paired.join(rows, "rep").select("pair", "right", *[c for c in rows.columns if c != "cluster"]).repartition("pair").sortWithinPartitions("pair")
+        return session.by_group(paired.join(rows, "rep").select("pair", "right", *[c for c in rows.columns if c != "cluster"]), "pair")
 
     degrees = compared(large).mapInArrow(_count_pairs, "rep long, n long").groupBy("rep").agg((F.sum("n") - 1).alias("degree"))
     degrees = session.materialize(degrees, "large-degrees")
