@@ -3,15 +3,16 @@
 Texts become sequences of plain words: markup, zero-width characters and soft hyphens go, words broken at line
 ends are joined, compatibility characters and accents are folded, case and punctuation drop out, and a blacked
 out place is one word that equals none. Each mask of ``MASKS`` hashes the words at its chosen positions and
-ignores the others; a run of seven equal words is met by the first mask, and thirty words with at most one in
-eight exchanged always hold such a run.
+ignores the others. Bare numbers are no part of seeds, so numbering between the words breaks none; a run of five
+equal words is met by the first mask, and thirty words with at most one in eight exchanged and two other
+interruptions always hold such a run.
 
 The hashes of the test passages form a sorted table. Documents are read once for each block of passages, whose
 size is bounded by ``BLOCK_CHARS``, and join with the table in Arrow batches; neither documents nor their hashes
-are shuffled. A hit lies on a diagonal of the document and passage. The equal words on the diagonals of a
-passage give an upper bound of what a document carries of it; where that bound is high enough the overlap is
-verified by dynamic programming over start, diagonal and passage position, which may change diagonals where the
-page puts something between the words or words are missing.
+are shuffled. A passage that shares a seed is compared if the words of the document, in any order, could make up
+enough of it. All diagonals on which it has three running words then count, not only those of seeds, and the
+overlap is verified by dynamic programming over length, diagonal and passage position, which may change diagonals
+where the page puts something between the words, at no cost and however long within a window, or words are missing.
 
 Defined results for odd input: null and blank texts and passages match nothing; an item with fewer than
 ``LEAST_WORDS`` words matches nothing; null ids are skipped; repeated rows count once; texts of any length are
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 
 LEAST_WORDS = 30
 ONE_IN = 8
-BETWEEN = 20
-MISSING = 6
+#: A run with what stands between its words lies within one of the windows of twice this many words, each half over the next.
+SPAN = 512
+#: How far from the beginning of three running words of its diagonal an equal word counts.
+NEAR = 12
 BLOCK_CHARS = 16_000_000
-MASKS = ("1110111", "11011011")
-_SEEN_BITS = 22
+MASKS = ("11111", "1110111", "11011011")
+_SEEN_BITS = 20
 
 _TAGS = re.compile(r"<[^<>]{1,60}>")
 _BROKEN = re.compile(r"(?<=\w)[-‐‑¬][ \t]*[\r\n]+\s*(?=\w)")
@@ -78,8 +81,49 @@ def _seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return key[place], place
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenated ranges ``starts[i] .. starts[i] + sizes[i]``."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def may_run(there: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+    """Which words can end a run of ``LEAST_WORDS`` of which at most one in ``ONE_IN`` is not ``there``.
+
+    Runs begin and end with words that are there and don't cross the places ``apart``.
+    """
+    lag = LEAST_WORDS - 1
+    out = np.zeros(len(there), bool)
+    if len(there) <= lag:
+        return out
+    far = len(there) + 1
+    small = far * (ONE_IN + (0 if apart is None else len(apart))) < 1 << 31
+    total = np.zeros(far, np.int32 if small else np.int64)
+    gain = np.where(there, total.dtype.type(1), total.dtype.type(1 - ONE_IN))
+    if apart is not None:
+        gain[apart] = -far
+    np.cumsum(gain, out=total[1:])
+    least = np.where(there[: far - 1 - lag], total[: far - 1 - lag], np.iinfo(total.dtype).max)
+    np.minimum.accumulate(least, out=least)
+    np.greater_equal(total[lag + 1 :], least, out=out[lag:])
+    out &= there
+    return out
+
+
+class Words:
+    """A sequence of word ids with and without its bare numbers, which page and numbering put anywhere."""
+
+    def __init__(self, ids: np.ndarray, bare: np.ndarray):
+        self.ids = ids
+        self.kept = np.nonzero(~bare)[0]
+        self.plain = ids[self.kept]
+
+
 class PassageIndex:
-    """The seed hashes of a block of passages, and the search for them in a document."""
+    """The seed hashes of a block of passages, and the search for them in a document.
+
+    Everything is flat: memory grows with the words of the passages, however long the longest is.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         texts = [(i, plain_words(p)) for i, p in items]
@@ -93,121 +137,187 @@ class PassageIndex:
         self.lengths = np.array([len(w) for _, w in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
         self.words = np.array([self.vocabulary.get(w, -2) for _, ws in texts for w in ws], np.int32)
-        self.width = int(self.lengths.max(initial=0))
-        self.grid = np.full((len(texts), self.width), -3, np.int32)
-        for i, n in enumerate(self.lengths):
-            self.grid[i, :n] = self.words[self.starts[i] : self.starts[i] + n]
+        self.bare = np.array([w.isdigit() for _, ws in texts for w in ws], bool)
+        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
+        kept = np.nonzero(~self.bare)[0]
         self.tables = []
-        for mask in MASKS:
-            keys, places = [], []
-            for s, n in zip(self.starts[:-1], self.lengths):
-                k, p = _seed_hashes(self.words[s : s + n], mask)
-                keys.append(k)
-                places.append(p + s)
-            key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            place = np.concatenate(places) if places else np.empty(0, np.int64)
+        for mask in (*MASKS, "111"):
+            key, place = _seed_hashes(self.words[kept], mask)
+            place, last = kept[place], kept[place + len(mask) - 1]
+            inside = self.owner[place] == self.owner[last]
+            key, place = key[inside], place[inside]
+            if mask == "111":
+                break
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << _SEEN_BITS, bool)
             seen[(key >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)] = True
-            self.tables.append((key[order], place[order], seen))
-        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
+            self.tables.append((key[order], self.owner[place[order]], seen))
+        self.triple = np.zeros(len(self.words), np.uint64)
+        self.triple[place] = key
+        # Of each word: the last one up to it that is no bare number (its place and its rank among such), in its passage.
+        places = np.arange(len(self.words))
+        last = np.maximum.accumulate(np.where(self.bare, -1, places)) if len(places) else places
+        self.behind = np.where(last >= self.starts[self.owner], places - last, -1)
+        first = np.concatenate([[0], np.cumsum(~self.bare)])
+        self.rank = first[np.maximum(last, 0)] - first[self.starts[self.owner]]
 
-    def _hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, diagonal) of all hits, each once; a diagonal is document place less passage place."""
+    def _hits(self, plain: np.ndarray) -> np.ndarray:
+        """The passages that share a seed with a document."""
         found = []
-        for mask, (table, places, seen) in zip(MASKS, self.tables):
-            keys, at = _seed_hashes(ids, mask)
+        for mask, (table, owners, seen) in zip(MASKS, self.tables):
+            keys, _ = _seed_hashes(plain, mask)
             if not len(keys) or not len(table):
                 continue
-            maybe = seen[(keys >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)]
-            keys, at = keys[maybe], at[maybe]
-            if not len(keys):
-                continue
+            keys = keys[seen[(keys >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)]]
             lo = np.searchsorted(table, keys)
-            same = table[np.minimum(lo, len(table) - 1)] == keys
-            if not same.any():
-                continue
-            keys, at, lo = keys[same], at[same], lo[same]
             n = np.searchsorted(table, keys, side="right") - lo
-            index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            place = places[index]
-            who = self.owner[place]
-            found.append(who * (1 << 40) + (np.repeat(at, n) - (place - self.starts[who]) + (1 << 39)))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.concatenate(found))
-        return both >> 40, (both & ((1 << 40) - 1)) - (1 << 39)
+            found.append(owners[_ranges(lo, n)])
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+    def _rich(self, who: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Those of the passages of which enough could be made up from the words that are held, in any order."""
+        flat = _ranges(self.starts[who], self.lengths[who])
+        total = np.zeros(len(flat) + 1, np.int32)
+        np.cumsum(held[self.words[flat]], out=total[1:])
+        # A run with one in eight missing has LEAST_WORDS consecutive words of which at most six are.
+        dense = total[LEAST_WORDS:] - total[:-LEAST_WORDS] >= LEAST_WORDS - 6
+        begin = np.cumsum(self.lengths[who]) - self.lengths[who]
+        who = who[np.add.reduceat(np.pad(dense, (0, LEAST_WORDS - 1)), begin) > 0]
+        if not len(who):
+            return who
+        flat = _ranges(self.starts[who], self.lengths[who] + 1)
+        ends = np.cumsum(self.lengths[who] + 1) - 1
+        flat[ends] = 0
+        there = held[self.words[flat]]
+        there[ends] = False
+        return who[np.add.reduceat(may_run(there, ends), ends - self.lengths[who]) > 0]
 
     def leaked(self, text: str | None) -> list[int]:
         """The items of which the text carries enough."""
         words = plain_words(text)
-        least = LEAST_WORDS - LEAST_WORDS // ONE_IN
-        if len(words) < least or not len(self.items):
+        if len(words) < LEAST_WORDS - LEAST_WORDS // ONE_IN or not len(self.items):
             return []
-        get, width = self.vocabulary.get, self.width
-        padded = np.full(len(words) + 2 * width, -1, np.int32)
-        padded[width : width + len(words)] = [get(w, -1) for w in words]
-        who, diagonal = self._hits(padded[width : width + len(words)])
+        get = self.vocabulary.get
+        doc = Words(np.array([get(w, -1) for w in words], np.int32), np.fromiter(map(str.isdigit, words), bool, len(words)))
+        who = self._hits(doc.plain)
         if not len(who):
             return []
-        out = []
-        on = np.lib.stride_tricks.sliding_window_view(padded, width)
-        apart = (np.diff(who) != 0) | (np.diff(diagonal) > BETWEEN)
-        starts = np.concatenate([[0], np.nonzero(apart)[0] + 1, [len(who)]])
-        block = 0
-        while block < len(starts) - 1:
-            last = max(block + 1, int(np.searchsorted(starts, starts[block] + 2048, side="right")) - 1)
-            cut = slice(starts[block], starts[last])
-            equal = on[diagonal[cut] + width] == self.grid[who[cut]]
-            first = starts[block:last] - starts[block]
-            most = np.add.reduceat(_densest(equal), first)
-            for k in np.nonzero(most >= least)[0]:
-                rows = slice(first[k], starts[block + k + 1] - starts[block])
-                item = who[cut][first[k]]
-                mine = equal[rows, : self.lengths[item]]
-                if _densest(mine.any(0)[None, :])[0] >= least and carried(mine, diagonal[cut][rows]):
-                    out.append(int(self.items[item]))
-            block = last
-        return sorted(set(out))
-
-
-def _densest(equal: np.ndarray) -> np.ndarray:
-    """For each row the most equal words within ``LEAST_WORDS``."""
-    total = np.cumsum(equal, axis=1, dtype=np.int32)
-    span = min(LEAST_WORDS, equal.shape[1])
-    most = total[:, span - 1].copy()
-    if equal.shape[1] > span:
-        np.maximum(most, (total[:, span:] - total[:, :-span]).max(1), out=most)
-    return most
-
-
-def carried(equal: np.ndarray, diagonal: np.ndarray) -> bool:
+        held = np.zeros(len(self.vocabulary) + 2, bool)
+        held[doc.ids] = True
+        held[-2:] = False
+        who = self._rich(who, held)
+        if not len(who):
+            return []
+        keys, at = _seed_hashes(doc.plain, "111")
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        if not len(keys):
+            return []
+        size = self.lengths[who]
+        flat = _ranges(self.starts[who], size)
+        lo, hi = np.searchsorted(keys, self.triple[flat]), np.searchsorted(keys, self.triple[flat], side="right")
+        n = np.where(self.triple[flat] == 0, 0, hi - lo)
+        place, q = np.repeat(flat, n), at[_ranges(lo, n)]
+        out: set[int] = set()
+        last = max(1, len(doc.plain) - SPAN)
+        for start in range(0, last, SPAN):
+            inside = (q >= start) & (q < start + 2 * SPAN) if last > SPAN else slice(None)
+            if len(q[inside]):
+                out.update(self._carried(doc, place[inside], q[inside]))
+        return sorted(out)
+
+    def _carried(self, doc: Words, place: np.ndarray, q: np.ndarray) -> list[int]:
+        """The items of which enough lies on the diagonals of the places where three running words are equal.
+
+        ``place`` is among the words of all passages, ``q`` among those of the document that are no bare numbers. Diagonals are
+        counted without bare numbers, so numbers between words shift nothing. The rows of ``equal`` are the diagonals,
+        one behind the other and apart.
+        """
+        whose = self.owner[place]
+        rows, row = np.unique((whose << 40) + (q - self.rank[place] + (1 << 39)), return_inverse=True)
+        owner, diagonal = rows >> 40, (rows & ((1 << 40) - 1)) - (1 << 39)
+        size = self.lengths[owner]
+        begin = np.cumsum(size + NEAR + 1) - size - NEAR - 1
+        index = _ranges(begin, size)
+        word = _ranges(self.starts[owner], size)
+        core = np.zeros(int(begin[-1] + size[-1]) + NEAR + 1, bool)
+        core[begin[row] + place - self.starts[whose]] = True
+        there = np.nonzero(around(core, NEAR, NEAR)[index])[0]
+        index, word = index[there], word[there]
+        at = self.rank[word] + np.repeat(diagonal, size)[there]
+        fits = (at >= 0) & (at < len(doc.plain)) & (self.behind[word] >= 0) & (self.words[word] >= 0)
+        index, word, at = index[fits], word[fits], at[fits]
+        raw = doc.kept[at] + self.behind[word]
+        same = (raw < len(doc.ids)) & (doc.ids[np.minimum(raw, len(doc.ids) - 1)] == self.words[word])
+        index, word = index[same], word[same]
+        equal = np.zeros(len(core), bool)
+        equal[index] = True
+        apart = begin[1:] - 1
+        on_one = np.add.reduceat(may_run(equal, apart), begin) > 0
+        found = set(owner[on_one].tolist())
+        several = np.nonzero(np.diff(owner) == 0)[0]
+        some = np.setdiff1d(owner[several], owner[on_one])
+        if len(some):
+            length = self.lengths[some] + 1
+            first = np.cumsum(length) - length
+            which = np.searchsorted(some, self.owner[word])
+            mine = some[np.minimum(which, len(some) - 1)] == self.owner[word]
+            union = np.zeros(int(length.sum()), bool)
+            union[first[which[mine]] + word[mine] - self.starts[self.owner[word[mine]]]] = True
+            can = np.add.reduceat(may_run(union, first[1:] - 1), first) > 0
+            for item in some[can].tolist():
+                lines = np.nonzero(owner == item)[0]
+                if chained(np.stack([equal[begin[r] : begin[r] + size[r]] for r in lines]), diagonal[lines]):
+                    found.add(item)
+        return [int(self.items[i]) for i in found]
+
+
+def around(marked: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Which places of each row have a marked one at most ``before`` places ahead or ``after`` places back."""
+    wide = [(0, 0)] * (marked.ndim - 1) + [(after + 1, before)]
+    total = np.cumsum(np.pad(marked, wide), axis=-1, dtype=np.int32)
+    return total[..., before + after + 1 :] > total[..., : marked.shape[-1]]
+
+
+def chained(equal: np.ndarray, diagonal: np.ndarray) -> bool:
     """Whether a run of ``LEAST_WORDS`` passage words has at most one in ``ONE_IN`` that differs.
 
-    ``equal`` tells for each diagonal which passage words it has. A run may move to a later diagonal where
-    something stands between the words, or to an earlier one where words are missing. A word that is there
-    scores 1, another costs ``ONE_IN`` - 1; a run is carried if it is long enough, its score is not negative, and its
-    first and last words are there, so a shorter quotation does not grow by words around it.
+    ``equal`` tells for each diagonal which passage words it has. A run may move to any later diagonal of the window,
+    where something stands between the words, or to an earlier one over as many passage words that are missing. A
+    word that is there scores 1, another costs ``ONE_IN`` - 1; a run is carried if it is long enough, its score is
+    not negative, and its first and last words are there, so a shorter quotation does not grow by words around it.
+
+    The state is the best score of each length, up to ``LEAST_WORDS``, on each diagonal.
     """
-    order = np.argsort(diagonal, kind="stable")
-    equal, diagonal = equal[order], diagonal[order]
-    step = diagonal[None, :] - diagonal[:, None]
-    allowed = (step > 0) & (step <= BETWEEN) | (step < 0) & (step >= -MISSING)
-    moves = [(a, b) for a, b in zip(*np.nonzero(allowed))]
-    n = equal.shape[1]
-    gain = np.where(equal, 1, 1 - ONE_IN)
-    score = np.full((n, len(diagonal)), -(1 << 20))
-    for p in range(n):
-        before = score[:p]
-        if moves and p:
-            moved = before.copy()
-            for a, b in moves:
-                np.maximum(moved[:, b], before[:, a], out=moved[:, b])
-            score[:p] = moved
-        score[p, equal[:, p]] = 0
-        score[: p + 1] += gain[:, p]
-        if p + 1 >= LEAST_WORDS and (score[: p + 2 - LEAST_WORDS, equal[:, p]] >= 0).any():
+    gain = np.where(equal, 1, 1 - ONE_IN).astype(np.int32)
+    none = -(1 << 28)
+    back = []
+    for x in range(1, ONE_IN):
+        to = np.searchsorted(diagonal, diagonal - x)
+        hit = diagonal[np.minimum(to, len(diagonal) - 1)] == diagonal - x
+        if hit.any():
+            back.append((x, np.nonzero(hit)[0], to[hit]))
+    states: list[np.ndarray] = []
+    best = np.full((LEAST_WORDS, len(diagonal)), none, np.int32)
+    for p in range(equal.shape[1]):
+        moved = np.maximum.accumulate(best, axis=1)
+        for x, source, to in back:
+            if len(states) > x:
+                old = states[-1 - x][:, source] - x * (ONE_IN - 1)
+                late = np.full_like(old, none)
+                late[x:] = old[: LEAST_WORDS - x]
+                late[-1] = np.maximum(late[-1], old[LEAST_WORDS - 1 - x :].max(0))
+                moved[:, to] = np.maximum(moved[:, to], late)
+        after = np.empty_like(best)
+        after[1:] = moved[:-1] + gain[:, p]
+        after[-1] = np.maximum(after[-1], moved[-1] + gain[:, p])
+        after[0] = np.where(equal[:, p], 1, none)
+        best = np.maximum(after, none)
+        if (best[-1, equal[:, p]] >= 0).any():
             return True
+        states.append(best)
+        if len(states) > ONE_IN + 1:
+            states.pop(0)
     return False
 
 
