@@ -244,3 +244,54 @@ def test_groups_keep_their_own_exchange_behind_an_aggregate_on_the_same_keys(spa
     grouped = session.by_group(sums, "k")
     assert "REPARTITION_BY_COL" in plan(grouped)
     assert grouped.columns == ["k", "v"] and grouped.count() == 7
+
+
+def test_compaction_takes_in_later_files_and_only_those(spark):
+    root = scratch_path(spark, "compaction")
+    row = lambda i, numbers, day, path="p/a": (i, path, numbers, [i] * len(numbers), len(numbers), DAY + dt.timedelta(days=day), "u")
+    known = runs(spark, ["p/a", "p/b"])
+    run = lambda rows, **more: sorted((r.path, r.sample_no, r.file_id) for r in compaction.compact(predictions(spark, rows), known, root, **more).collect())
+    early = [row(1, [1, 2], 1), row(2, [2, 3], 2)]
+    assert run(early) == [("p/a", 1, 1), ("p/a", 2, 2), ("p/a", 3, 2)]
+    late = [row(3, [3, 4], 0), row(4, [1], 5), row(5, [7, 8], 1, "p/b")]
+    want = [("p/a", 1, 4), ("p/a", 2, 2), ("p/a", 3, 2), ("p/a", 4, 3), ("p/b", 7, 5), ("p/b", 8, 5)]
+    assert run(early + late) == want
+    journal = compaction.SizeTieredCompactor(root).journal(spark)
+    taken = sorted(u for r in journal.where("level = 1").collect() for u in r.inputs or [])
+    assert [int(u[1:]) for u in taken] == [1, 2, 3, 4, 5]
+    before = journal.count()
+    assert run(late) == want and run([]) == want
+    assert compaction.SizeTieredCompactor(root).journal(spark).count() == before
+    assert journal.where("last").agg(F.max("n_records")).first()[0] == 6
+
+
+def test_compaction_grows_its_shards_and_leaves_other_shards_alone(spark):
+    root = scratch_path(spark, "compaction")
+    known = runs(spark, ["p/a", "p/b", "p/c"])
+    rng = np.random.default_rng(1)
+    rows, best = [], {}
+    for i in range(1, 40):
+        path, numbers = f"p/{'abc'[i % 3]}", sorted(set(rng.integers(0, 90_000, 30).tolist()))
+        rows.append((i, path, numbers, [i] * len(numbers), len(numbers), DAY + dt.timedelta(days=int(rng.integers(5))), "u"))
+        for s in numbers:
+            best[path, s] = max(best.get((path, s), (DAY, 0)), (rows[-1][5], i))
+    kept = {"fan_in": 3, "target_records": 40, "smallest_tier": 8}
+    for upto in (4, 5, 39, 39):
+        done = compaction.compact(predictions(spark, rows[:upto]), known, root, **kept)
+    assert {(r.path, r.sample_no): r.file_id for r in done.collect()} == {k: i for k, (_, i) in best.items()}
+    journal = compaction.SizeTieredCompactor(root).journal(spark)
+    assert journal.agg(F.max("shards")).first()[0] > journal.agg(F.min("shards")).first()[0]
+    assert done.count() == len(best)
+
+
+def test_broken_off_compaction_is_taken_up_again(spark):
+    root = scratch_path(spark, "compaction")
+    rows = [(i, "p/a", [i, i + 1], [i, i], 2, DAY, "u") for i in range(1, 30)]
+    make = lambda: sorted((r.sample_no, r.file_id) for r in compaction.compact(predictions(spark, rows), runs(spark, ["p/a"]), root, fan_in=4, smallest_tier=2).collect())
+    want = make()
+    last = max(r.tx for r in compaction.SizeTieredCompactor(root).journal(spark).select("tx").distinct().collect())
+    delete_path(spark, f"{root}/journal/tx={last}/_SUCCESS")
+    assert make() == want
+    delete_path(spark, f"{root}/journal/tx={last}")
+    delete_path(spark, f"{root}/data/tx={last}")
+    assert make() == want
