@@ -40,6 +40,7 @@ NEAR = 12
 BLOCK_CHARS = 16_000_000
 MASKS = ("11111", "1110111", "11011011")
 _SEEN_BITS = 20
+TOGETHER = 32
 
 _TAGS = re.compile(r"<[^<>]{1,60}>")
 _BROKEN = re.compile(r"(?<=\w)[-‐‑¬][ \t]*[\r\n]+\s*(?=\w)")
@@ -149,9 +150,10 @@ class PassageIndex:
             if mask == "111":
                 break
             order = np.argsort(key, kind="stable")
+            table, firsts = np.unique(key[order], return_index=True)
             seen = np.zeros(1 << _SEEN_BITS, bool)
             seen[(key >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)] = True
-            self.tables.append((key[order], self.owner[place[order]], seen))
+            self.tables.append((table, np.append(firsts, len(key)), self.owner[place[order]], seen))
         self.triple = np.zeros(len(self.words), np.uint64)
         self.triple[place] = key
         # Of each word: the last one up to it that is no bare number (its place and its rank among such), in its passage.
@@ -161,62 +163,81 @@ class PassageIndex:
         first = np.concatenate([[0], np.cumsum(~self.bare)])
         self.rank = first[np.maximum(last, 0)] - first[self.starts[self.owner]]
 
-    def _hits(self, plain: np.ndarray) -> np.ndarray:
-        """The passages that share a seed with a document."""
-        found = []
-        for mask, (table, owners, seen) in zip(MASKS, self.tables):
-            keys, _ = _seed_hashes(plain, mask)
+    def _hits(self, plain: np.ndarray, doc_of: np.ndarray, docs: int) -> np.ndarray:
+        """Which of the documents, one behind the other in ``plain``, share a seed with which passages."""
+        found = np.zeros((docs, len(self.items)), bool)
+        for mask, (table, firsts, owners, seen) in zip(MASKS, self.tables):
+            keys, place = _seed_hashes(plain, mask)
             if not len(keys) or not len(table):
                 continue
-            keys = keys[seen[(keys >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)]]
-            lo = np.searchsorted(table, keys)
-            n = np.searchsorted(table, keys, side="right") - lo
-            found.append(owners[_ranges(lo, n)])
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+            maybe = seen[(keys >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)]
+            keys, place = keys[maybe], place[maybe]
+            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+            same = table[at] == keys
+            at, place = at[same], place[same]
+            n = firsts[at + 1] - firsts[at]
+            found[np.repeat(doc_of[place], n), owners[_ranges(firsts[at], n)]] = True
+        return found
 
     def _rich(self, who: np.ndarray, held: np.ndarray) -> np.ndarray:
         """Those of the passages of which enough could be made up from the words that are held, in any order."""
-        flat = _ranges(self.starts[who], self.lengths[who])
-        total = np.zeros(len(flat) + 1, np.int32)
-        np.cumsum(held[self.words[flat]], out=total[1:])
-        # A run with one in eight missing has LEAST_WORDS consecutive words of which at most six are.
-        dense = total[LEAST_WORDS:] - total[:-LEAST_WORDS] >= LEAST_WORDS - 6
-        begin = np.cumsum(self.lengths[who]) - self.lengths[who]
-        who = who[np.add.reduceat(np.pad(dense, (0, LEAST_WORDS - 1)), begin) > 0]
+        # A run with one in eight missing has LEAST_WORDS consecutive words of which at most six are. Sums may wrap around.
+        if 3 * int(self.lengths[who].sum()) > len(self.words):
+            total = np.cumsum(held[self.words], dtype=np.int8)
+            dense = np.nonzero(total[LEAST_WORDS - 1 :] - np.append(np.int8(0), total[:-LEAST_WORDS]) >= LEAST_WORDS - 6)[0]
+            some = np.zeros(len(self.items), bool)
+            some[self.owner[dense]] = True
+            who = who[some[who]]
         if not len(who):
             return who
         flat = _ranges(self.starts[who], self.lengths[who] + 1)
         ends = np.cumsum(self.lengths[who] + 1) - 1
         flat[ends] = 0
-        there = held[self.words[flat]]
+        there = held[self.words[flat]] > 0
         there[ends] = False
         return who[np.add.reduceat(may_run(there, ends), ends - self.lengths[who]) > 0]
 
     def leaked(self, text: str | None) -> list[int]:
         """The items of which the text carries enough."""
-        words = plain_words(text)
-        if len(words) < LEAST_WORDS - LEAST_WORDS // ONE_IN or not len(self.items):
-            return []
+        return self.leaked_in([text])[0]
+
+    def leaked_in(self, texts: list[str | None]) -> list[list[int]]:
+        """The items of which each text carries enough; the seeds of all texts are looked up together."""
+        out: list[list[int]] = [[] for _ in texts]
+        least = LEAST_WORDS - LEAST_WORDS // ONE_IN
+        words = [(i, w) for i, w in enumerate(map(plain_words, texts)) if len(w) >= least]
+        if not words or not len(self.items):
+            return out
         get = self.vocabulary.get
-        doc = Words(np.array([get(w, -1) for w in words], np.int32), np.fromiter(map(str.isdigit, words), bool, len(words)))
-        who = self._hits(doc.plain)
-        if not len(who):
-            return []
-        held = np.zeros(len(self.vocabulary) + 2, bool)
-        held[doc.ids] = True
-        held[-2:] = False
+        docs = [Words(np.array([get(w, -1) for w in ws], np.int32), np.fromiter(map(str.isdigit, ws), bool, len(ws))) for _, ws in words]
+        apart = np.full(max(map(len, MASKS)), -1, np.int32)
+        plain = np.concatenate([part for d in docs for part in (d.plain, apart)])
+        size = np.array([len(d.plain) + len(apart) for d in docs])
+        begin = np.cumsum(size) - size
+        found = self._hits(plain, np.repeat(np.arange(len(docs)), size), len(docs))
+        keys, place = _seed_hashes(plain, "111")
+        cut = np.searchsorted(place, np.append(begin, len(plain)))
+        for k in np.nonzero(found.any(1))[0]:
+            mine = slice(cut[k], cut[k + 1])
+            out[words[k][0]] = self._searched(docs[k], np.nonzero(found[k])[0], keys[mine], place[mine] - begin[k])
+        return out
+
+    def _searched(self, doc: Words, who: np.ndarray, keys: np.ndarray, at: np.ndarray) -> list[int]:
+        """The items of the passages ``who`` of which the document carries enough; ``keys`` hash its three running words, which begin ``at``."""
+        held = np.zeros(len(self.vocabulary) + 2, np.int8)
+        held[doc.ids] = 1
+        held[-2:] = 0
         who = self._rich(who, held)
-        if not len(who):
+        if not len(who) or not len(keys):
             return []
-        keys, at = _seed_hashes(doc.plain, "111")
         order = np.argsort(keys, kind="stable")
         keys, at = keys[order], at[order]
-        if not len(keys):
-            return []
-        size = self.lengths[who]
-        flat = _ranges(self.starts[who], size)
-        lo, hi = np.searchsorted(keys, self.triple[flat]), np.searchsorted(keys, self.triple[flat], side="right")
-        n = np.where(self.triple[flat] == 0, 0, hi - lo)
+        flat = _ranges(self.starts[who], self.lengths[who])
+        flat = flat[self.triple[flat] != 0]
+        lo = np.searchsorted(keys, self.triple[flat])
+        same = keys[np.minimum(lo, len(keys) - 1)] == self.triple[flat]
+        flat, lo = flat[same], lo[same]
+        n = np.searchsorted(keys, self.triple[flat], side="right") - lo
         place, q = np.repeat(flat, n), at[_ranges(lo, n)]
         out: set[int] = set()
         last = max(1, len(doc.plain) - SPAN)
@@ -238,13 +259,15 @@ class PassageIndex:
         owner, diagonal = rows >> 40, (rows & ((1 << 40) - 1)) - (1 << 39)
         size = self.lengths[owner]
         begin = np.cumsum(size + NEAR + 1) - size - NEAR - 1
-        index = _ranges(begin, size)
-        word = _ranges(self.starts[owner], size)
         core = np.zeros(int(begin[-1] + size[-1]) + NEAR + 1, bool)
         core[begin[row] + place - self.starts[whose]] = True
-        there = np.nonzero(around(core, NEAR, NEAR)[index])[0]
-        index, word = index[there], word[there]
-        at = self.rank[word] + np.repeat(diagonal, size)[there]
+        index = np.nonzero(around(core, NEAR, NEAR))[0]
+        line = np.searchsorted(begin, index, side="right") - 1
+        word = index - begin[line]
+        there = word < size[line]
+        index, line, word = index[there], line[there], word[there]
+        word += self.starts[owner[line]]
+        at = self.rank[word] + diagonal[line]
         fits = (at >= 0) & (at < len(doc.plain)) & (self.behind[word] >= 0) & (self.words[word] >= 0)
         index, word, at = index[fits], word[fits], at[fits]
         raw = doc.kept[at] + self.behind[word]
@@ -337,10 +360,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_chars: int = BLOC
             index = shared.value
             for batch in batches:
                 docs, hits = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for item in index.leaked(text.as_py()):
-                        docs.append(doc)
-                        hits.append(item)
+                ids = batch.column(0).to_pylist()
+                for lo in range(0, len(ids), TOGETHER):
+                    for doc, found in zip(ids[lo : lo + TOGETHER], index.leaked_in(batch.column(1).slice(lo, TOGETHER).to_pylist())):
+                        docs += [doc] * len(found)
+                        hits += found
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
 
         part = texts.mapInArrow(run, "doc_id long, item_id long")
