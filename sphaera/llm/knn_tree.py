@@ -1,12 +1,16 @@
 """The most similar vectors of every vector, by a hierarchical k-means tree searched best bin first.
 
-Datasets that fit in a task are searched there block by block. For each larger one a tree of k-means splits is
-fitted on a bounded sample of its vectors (``TREE_SAMPLE`` in expectation); every vector is then sent down the
-tree into its leaf. A query first meets its own leaf, which bounds the distance of its k-th neighbour. It then
-visits other leaves in the order of a lower bound of their distance (the largest gap to a splitting plane on the
-way down), and no leaf whose bound exceeds that of its k-th neighbour. How many it may visit is calibrated per
-dataset: a bounded sample of queries visits all leaves its bounds allow, which is exact, and the budget becomes
-``MARGIN`` times the number of visits that find ``TARGET`` of their neighbours.
+Each dataset gets a tree of k-means splits, fitted on a bounded sample of its vectors (``TREE_SAMPLE`` in
+expectation); every vector is sent down the tree into its leaf. A query takes nodes out of a queue in the order of a
+lower bound of their distance (the largest gap to a splitting plane on the way down): an inner node puts its
+children into the queue, a leaf is searched, and no node is taken whose bound exceeds the distance of the k-th
+neighbour so far. How many leaves a query may visit is calibrated per dataset: a bounded sample of queries visits all
+leaves its bounds allow, which is exact, and the number of visits is doubled from 1 until it finds ``TARGET`` of their
+neighbours. ``exact`` sets no such number.
+
+Datasets of at most ``WHOLE`` vectors are searched in one task each, so the k-th neighbour tightens after every leaf. Of
+larger ones a query first meets its own leaf; the other visits are then spread over tasks, each of which gets a
+bounded part of a leaf (``PART`` members) and of its visitors (``VISITORS``), so a leaf that many want is no task of its own.
 
 Equal vectors are searched once. Distances are exact; of equal ones the smaller sample comes first.
 
@@ -18,7 +22,7 @@ results; other columns are ignored.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,13 @@ from sphaera.llm.vectors import distinct_vectors, exact, matrix, sorted_groups,
 K = 5
 WHOLE = 8192
 LEAF = 1024
+LOCAL_LEAF = 128
+PART, VISITORS = 8192, 16_384
 BRANCH = 8
 TREE_SAMPLE = 32_768
 SLICE = 32_768
 CALIBRATION = 256
 TARGET = 0.9999
-MARGIN = 8
 _SLACK = 1e-9
 _FOUND = "rep long, other long, distance double, visit int"
 
@@ -81,14 +86,71 @@ def _found(rep: np.ndarray, other: np.ndarray, distance: np.ndarray, visit: np.n
     return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(other, pa.int64()), pa.array(distance, pa.float64()), pa.array(visit, pa.int32())], names=["rep", "other", "distance", "visit"])
 
 
-def _within_group(keys: int, k: int):
+def _merge(distance: np.ndarray, other: np.ndarray, rows: np.ndarray, i: np.ndarray, ids: np.ndarray, d: np.ndarray, visit: np.ndarray | None = None, at: np.ndarray | None = None) -> None:
+    """Merge neighbours ``ids`` at ``d`` of the rows ``rows[i]`` (at most k each, sorted by row) into the k best of each row."""
+    k = distance.shape[1]
+    if not len(i):
+        return
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    mine = np.unique(i)
+    slot = np.searchsorted(mine, i)
+    new_d, new_o = np.full((len(mine), k), np.inf), np.full((len(mine), k), np.iinfo(np.int64).max)
+    new_d[slot, place], new_o[slot, place] = d, ids
+    who = rows[mine]
+    all_d, all_o = np.concatenate([distance[who], new_d], axis=1), np.concatenate([other[who], new_o], axis=1)
+    order = np.lexsort((all_o, all_d), axis=1)[:, :k]
+    distance[who], other[who] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_o, order, 1)
+    if visit is not None:
+        when = np.concatenate([visit[who], np.broadcast_to(at[mine][:, None], (len(mine), k))], axis=1)
+        visit[who] = np.take_along_axis(when, order, 1)
+
+
+def searched(tree: Tree, x: np.ndarray, ids: np.ndarray, members: dict[int, np.ndarray], rows: np.ndarray, within: float, k: int, budget: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, other, visit) of the k nearest of each of the given rows of ``x``; visit is the leaf that told, counted from 0."""
+    distance, other = np.full((len(rows), k), np.inf), np.full((len(rows), k), np.iinfo(np.int64).max)
+    visit = np.zeros((len(rows), k), np.int64)
+    q, q_ids = x[rows], ids[rows]
+    most = np.full(len(rows), within)
+
+    def meet(leaf: int, who: np.ndarray, visits: np.ndarray) -> None:
+        there = members.get(leaf)
+        if there is not None:
+            i, o, d = nearest(q[who], q_ids[who], x[there], ids[there], most[who], k)
+            _merge(distance, other, who, i, o, d, visit, visits)
+            most[who] = np.minimum(most[who], distance[who, k - 1])
+
+    tree.best_first(q, most, budget, meet)
+    return distance, other, visit
+
+
+def widened(visit: np.ndarray, found: np.ndarray) -> int:
+    """The number of visits, doubled from 1, that finds ``TARGET`` of the neighbours an exact search found."""
+    visits, total = 1, max(1, int(found.sum()))
+    while (found & (visit < visits)).sum() < TARGET * total:
+        visits *= 2
+    return visits
+
+
+def _whole(k: int, leaf: int, exactly: bool):
+    """Search of whole datasets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, keys):
-            if t.num_rows < 2:
-                continue
-            ids, x, most = t.column("rep").to_numpy(), matrix(t.column("x")), t.column("within").to_numpy()
-            i, other, d = nearest(x, ids, x, ids, most, k)
-            yield _found(ids[i], other, d, np.zeros(len(i), np.int32))
+        for t in sorted_groups(batches, 1):
+            t = t.sort_by("rep")
+            ids, x, within = t.column("rep").to_numpy(), matrix(t.column("x")), float(t.column("within")[0].as_py())
+            tree = fit_tree(x, leaf)
+            own = tree.leaves(x)
+            order = np.argsort(own, kind="stable")
+            cuts = np.nonzero(np.diff(own[order]))[0] + 1
+            members = {int(own[w[0]]): w for w in np.split(order, cuts)}
+            some = np.arange(0, len(x), -(-len(x) // CALIBRATION))
+            distance, other = np.empty((len(x), k)), np.empty((len(x), k), np.int64)
+            distance[some], other[some], visit = searched(tree, x, ids, members, some, within, k, None)
+            budget = None if exactly else widened(visit, np.isfinite(distance[some]))
+            rest = np.setdiff1d(np.arange(len(x)), some)
+            distance[rest], other[rest], _ = searched(tree, x, ids, members, rest, within, k, budget)
+            i, j = np.nonzero(np.isfinite(distance))
+            yield _found(ids[i], other[i, j], distance[i, j], np.zeros(len(i), np.int32))
 
     return run
 
@@ -127,23 +189,43 @@ class Tree:
                     todo.append((child, who[best == i]))
         return out
 
-    def visits(self, x: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, bound) of all leaves that may hold a vector at most ``most`` away."""
-        found = []
-        todo = [(0, np.arange(len(x)), np.zeros(len(x)))]
-        while todo:
-            node, who, bound = todo.pop()
-            if not self.children[node]:
-                found.append((who, np.full(len(who), node), bound))
-                continue
-            _, gap = _gaps(x[who], self.centroids[node])
-            for i, child in enumerate(self.children[node]):
-                below = np.maximum(bound, gap[:, i])
-                keep = below <= most[who] * (1 + _SLACK) + _SLACK
-                if keep.any():
-                    todo.append((child, who[keep], below[keep]))
-        rows, leaves, bounds = (np.concatenate(c) for c in zip(*found))
-        return rows, leaves, bounds
+    def best_first(self, x: np.ndarray, most: np.ndarray, budget: np.ndarray | int | None, meet: Callable[[int, np.ndarray, np.ndarray], None]) -> None:
+        """Take the nodes of each row out of its queue, nearest bound first, and ``meet(leaf, rows, visits so far)`` at each leaf.
+
+        A row goes on while the nearest bound in its queue is at most ``most``, which ``meet`` may lower, and it has visited
+        fewer than ``budget`` leaves. The queues are rows of a matrix over all nodes.
+        """
+        step = max(16, (1 << 22) // len(self.children))
+        for lo in range(0, len(x), step):
+            rows = np.arange(lo, min(len(x), lo + step))
+            queue = np.full((len(rows), len(self.children)), np.inf)
+            queue[:, 0] = 0.0
+            visits = np.zeros(len(rows), np.int64)
+            allowed = np.full(len(rows), 1 << 62) if budget is None else np.broadcast_to(budget, len(x))[rows]
+            active = np.arange(len(rows))
+            while len(active):
+                node = queue[active].argmin(1)
+                bound = queue[active, node]
+                live = bound <= most[rows[active]] * (1 + _SLACK) + _SLACK
+                active, node, bound = active[live], node[live], bound[live]
+                queue[active, node] = np.inf
+                for at in np.unique(node):
+                    here = node == at
+                    who = active[here]
+                    if not self.children[at]:
+                        meet(int(at), rows[who], visits[who])
+                        visits[who] += 1
+                        continue
+                    _, gap = _gaps(x[rows[who]], self.centroids[at])
+                    queue[who[:, None], np.array(self.children[at])[None, :]] = np.maximum(bound[here][:, None], gap)
+                active = active[visits[active] < allowed[active]]
+
+    def visits(self, x: np.ndarray, most: np.ndarray, budget: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, visit) of the leaves that may hold a vector at most ``most`` away, nearest bound first, at most ``budget`` a row."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
+        self.best_first(x, most, budget, lambda leaf, who, visits: found.append((who, np.full(len(who), leaf), visits.copy())))
+        rows, leaves, visit = (np.concatenate(c) for c in zip(*found))
+        return rows, leaves, visit
 
 
 def _gaps(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,29 +301,25 @@ def _visit(points: pa.Table, trees: pa.Table) -> pa.Table:
     for lo in range(0, points.num_rows, 2048):
         block = points.slice(lo, 2048)
         x, most, own = matrix(block.column("x")), block.column("most").to_numpy(), block.column("leaf").to_numpy()
-        row, leaf, bound = tree.visits(x, most)
+        budget = np.minimum(block.column("budget").to_numpy().astype(np.int64) + 1, 1 << 40)  # the own leaf is met before
+        row, leaf, place = tree.visits(x, most, budget)
         other = leaf != own[row]
-        row, leaf, bound = row[other], leaf[other], bound[other]
-        order = np.lexsort((leaf, bound, row))
-        row, leaf = row[order], leaf[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row) + 1
-        keep = place <= block.column("budget").to_numpy()[row]
-        row, leaf, place = row[keep], leaf[keep], place[keep]
+        row, leaf, place = row[other], leaf[other], place[other]
         taken = block.take(pa.array(row))
         parts.append(pa.table([taken.column("dataset_name"), pa.array(leaf, pa.int64()), taken.column("rep"), taken.column("x"), taken.column("most"), pa.array(place, pa.int32())], schema=schema))
     return pa.concat_tables(parts)
 
 
 def _meet(k: int):
-    """Visitors of a leaf against its members; members come as visit 0."""
+    """Visitors of a part of a leaf against its members; members come as visit -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, 2):
+        for t in sorted_groups(batches, 4):
             visit = t.column("visit").to_numpy()
-            if visit.min() > 0 or visit.max() == 0:
+            if visit.min() >= 0 or visit.max() < 0:
                 continue
             ids, x, most = t.column("rep").to_numpy(), matrix(t.column("x")), t.column("most").to_numpy()
-            member = visit == 0
+            member = visit < 0
             q = ~member
             i, other, d = nearest(x[q], ids[q], x[member], ids[member], most[q], k)
             yield _found(ids[q][i], other, d, visit[q][i])
@@ -254,7 +332,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("rep").agg(top.alias("top")).select("rep", F.explode("top").alias("t")).select("rep", "t.other", "t.distance", "t.visit")
 
 
-def _large(large: DataFrame, k: int, leaf: int) -> DataFrame:
+def _large(large: DataFrame, k: int, leaf: int, exactly: bool) -> DataFrame:
     """Neighbours in the datasets that have a tree."""
     share = F.greatest(F.lit(1), F.ceil(F.col("n") / TREE_SAMPLE)).cast("long")
     sample = large.where(F.pmod(F.xxhash64("rep", F.lit(11)), share) == 0)
@@ -267,7 +345,23 @@ def _large(large: DataFrame, k: int, leaf: int) -> DataFrame:
     kinds = "dataset_name string, slice int, rep long, x array<double>, within double, leaf long"
     leaves = session.materialize(points.groupBy(*by).cogroup(placed.groupBy(*by)).applyInArrow(_assign, kinds), "leaves")
     members = leaves.select("dataset_name", "leaf", "rep", "x", "within")
-    own = members.repartition("dataset_name", "leaf").sortWithinPartitions("dataset_name", "leaf").mapInArrow(_within_group(2, k), _FOUND)
+    cut = members.groupBy("dataset_name", "leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("pieces"))
+    cut = session.materialize(cut, "pieces")
+
+    def meet(visitors: DataFrame) -> DataFrame:
+        """Neighbours of the visitors (dataset_name, leaf, rep, x, most, visit) in the leaves they visit."""
+        wanted = visitors.groupBy("dataset_name", "leaf").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+        wanted = session.materialize(wanted, "wanted")
+        of = ["dataset_name", "leaf"]
+        came = visitors.join(wanted, of).join(cut, of)
+        came = came.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(19)), "parts").cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        stay = members.join(wanted, of).join(cut, of)
+        stay = stay.withColumn("piece", F.pmod(F.xxhash64("rep", F.lit(23)), "pieces").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        columns = [*of, "part", "piece", "rep", "x"]
+        both = came.select(*columns, "most", "visit").unionByName(stay.select(*columns, F.col("within").alias("most"), F.lit(-1).alias("visit")))
+        return session.by_group(both, *of, "part", "piece").mapInArrow(_meet(k), _FOUND)
+
+    own = _best(meet(members.select("dataset_name", "leaf", "rep", "x", F.col("within").alias("most"), F.lit(0).alias("visit"))), k)
     own = session.materialize(own, "own")
     kth = own.groupBy("rep").agg(F.count("*").alias("have"), F.max("distance").alias("far"))
     bounded = leaves.join(kth, "rep", "left").withColumn("most", F.when(F.col("have") >= k, F.least("far", "within")).otherwise(F.col("within")))
@@ -279,35 +373,39 @@ def _large(large: DataFrame, k: int, leaf: int) -> DataFrame:
         else:
             told = queries.join(budget, "dataset_name", "left").withColumn("budget", F.coalesce("budget", F.lit(1 << 30)).cast("int"))
         visitors = told.groupBy(*by).cogroup(placed.groupBy(*by)).applyInArrow(_visit, _VISITS)
-        stay = members.select("dataset_name", "leaf", "rep", "x", F.col("within").alias("most"), F.lit(0).alias("visit"))
-        met = stay.unionByName(visitors).repartition("dataset_name", "leaf").sortWithinPartitions("dataset_name", "leaf").mapInArrow(_meet(k), _FOUND)
-        return _best(met.unionByName(own), k)
+        return _best(meet(session.materialize(visitors, "visitors")).unionByName(own), k)
 
+    if exactly:
+        return search(bounded, None)
     few = F.greatest(F.lit(1), F.ceil(F.col("n") / CALIBRATION)).cast("long")
     asked = bounded.join(sizes, "dataset_name").where(F.pmod(F.xxhash64("rep", F.lit(17)), few) == 0).drop("n")
-    exact_few = search(asked, None).join(asked.select("rep", "dataset_name"), "rep")
-    budget = exact_few.groupBy("dataset_name").agg(F.ceil(MARGIN * F.percentile("visit", TARGET)).cast("int").alias("budget"))
+    found = session.materialize(search(asked, None).join(asked.select("rep", "dataset_name"), "rep"), "asked")
+    wide = found.groupBy("dataset_name", "visit").agg(F.count("*").alias("n"))
+    wide = wide.groupBy("dataset_name").agg(F.sort_array(F.collect_list(F.struct("visit", "n"))).alias("seen"), F.sum("n").alias("all"))
+    within = lambda v: F.aggregate("seen", F.lit(0).cast("long"), lambda s, e: s + F.when(e["visit"] < v, e["n"]).otherwise(0))
+    widths = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda e: F.pow(F.lit(2), e).cast("int"))
+    budget = wide.select("dataset_name", F.get(F.filter(widths, lambda v: within(v) >= TARGET * F.col("all")), F.lit(0)).alias("budget"))
     return search(bounded, session.materialize(budget, "budget"))
 
 
-def nearest_vectors(vectors: DataFrame, k: int = K, whole: int = WHOLE, leaf: int = LEAF) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = K, whole: int = WHOLE, leaf: int | None = None, exactly: bool = False) -> DataFrame:
     """(rep, other, distance): the k nearest distinct vectors at most ``within`` away, smaller ids first if equal."""
     sizes = vectors.groupBy("dataset_name").agg(F.count("*").alias("n"))
     sized = session.materialize(vectors.join(sizes, "dataset_name").select("dataset_name", "rep", "x", "within", "n"), "vectors")
-    small = sized.where(F.col("n") <= whole).select("dataset_name", "rep", "x", "within")
-    found = small.repartition("dataset_name").sortWithinPartitions("dataset_name").mapInArrow(_within_group(1, k), _FOUND)
+    small = session.by_group(sized.where(F.col("n") <= whole).select("dataset_name", "rep", "x", "within"), "dataset_name")
+    found = small.mapInArrow(_whole(k, leaf or LOCAL_LEAF, exactly), _FOUND)
     large = sized.where(F.col("n") > whole)
     if not large.isEmpty():
-        found = found.unionByName(_large(large, k, leaf))
+        found = found.unionByName(_large(large, k, leaf or LEAF, exactly))
     return found.select("rep", "other", "distance")
 
 
-def neighbour_lists(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE, leaf: int = LEAF) -> DataFrame:
+def neighbour_lists(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE, leaf: int | None = None, exactly: bool = False) -> DataFrame:
     """(sample_id, neighbour, distance, place): at most k nearest similar samples of every usable sample."""
     samples = session.materialize(usable_samples(dataset, catalog), "samples")
     vectors, members = distinct_vectors(samples)
     members = session.materialize(members, "members")
-    found = session.materialize(nearest_vectors(vectors, k, whole, leaf), "found")
+    found = session.materialize(nearest_vectors(vectors, k, whole, leaf, exactly), "found")
     several = members.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep")
     few = Window.partitionBy("rep").orderBy("sample_id")
     copies = members.join(several, "rep", "left_semi").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
@@ -321,7 +419,7 @@ def neighbour_lists(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: i
     return each.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("sample_id", F.col("id").alias("neighbour"), "distance", "place")
 
 
-def neighbour_pairs(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE, leaf: int = LEAF) -> DataFrame:
+def neighbour_pairs(dataset: DataFrame, catalog: DataFrame, k: int = K, whole: int = WHOLE, leaf: int | None = None, exactly: bool = False) -> DataFrame:
     """(sample_a, sample_b): pairs in which at least one is a neighbour of the other, the smaller first."""
-    lists = neighbour_lists(dataset, catalog, k, whole, leaf)
+    lists = neighbour_lists(dataset, catalog, k, whole, leaf, exactly)
     return lists.select(F.least("sample_id", "neighbour").alias("sample_a"), F.greatest("sample_id", "neighbour").alias("sample_b")).distinct()

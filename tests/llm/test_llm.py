@@ -405,3 +405,51 @@ def test_the_core_does_not_import_this_package():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "sphaera.llm" not in f.read_text()
+
+
+@pytest.mark.parametrize("whole,leaf", [(10_000, 8), (20, 8)])
+def test_exact_search_equals_all_pairs_whatever_the_parts(spark, monkeypatch, whole, leaf):
+    monkeypatch.setattr(knn_tree, "PART", 5)
+    monkeypatch.setattr(knn_tree, "VISITORS", 9)
+    data = cloud()
+    got = {tuple(r) for r in knn_tree.neighbour_pairs(*points(spark, data), whole=whole, leaf=leaf, exactly=True).collect()}
+    assert got == truth(data, 1.0)[1]
+
+
+def test_datasets_of_one_task_are_searched_by_their_tree():
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(3000, 6)), rng.permutation(3000)
+    tree = knn_tree.fit_tree(x, knn_tree.LOCAL_LEAF)
+    own = tree.leaves(x)
+    members = {int(leaf): np.nonzero(own == leaf)[0] for leaf in np.unique(own)}
+    assert len(members) > 20
+    rows = np.arange(0, 3000, 7)
+    i, other, d = knn_tree.nearest(x[rows], ids[rows], x, ids, np.full(len(rows), 1.5), 5)
+    want = set(zip(rows[i].tolist(), other.tolist()))
+    for budget in (None, 4):
+        distance, found, visit = knn_tree.searched(tree, x, ids, members, rows, 1.5, 5, budget)
+        a, b = np.nonzero(np.isfinite(distance))
+        got = set(zip(rows[a].tolist(), found[a, b].tolist()))
+        assert got == want if budget is None else len(got & want) >= 0.8 * len(want)
+        if budget is None:
+            visits = knn_tree.widened(visit, np.isfinite(distance))
+            assert visits & (visits - 1) == 0 and (visit < visits).sum() >= knn_tree.TARGET * len(a)
+
+
+def test_queues_give_leaves_in_the_order_of_their_bounds_and_stop_at_the_nearest_found():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 3))
+    tree = knn_tree.fit_tree(x, 16)
+    most, seen = np.full(40, 10.0), {i: [] for i in range(40)}
+
+    def meet(leaf, rows, visits):
+        for r, v in zip(rows.tolist(), visits.tolist()):
+            assert v == len(seen[r])
+            seen[r].append(leaf)
+        most[rows] = 0.0
+
+    tree.best_first(x[:40], most, None, meet)
+    own = tree.leaves(x[:40])
+    assert all(own[i] in leaves and len(leaves) <= 3 for i, leaves in seen.items())
+    rows, _, visit = tree.visits(x[:40], np.full(40, 10.0), 5)
+    assert np.bincount(rows).tolist() == [5] * 40 and visit.max() == 4
