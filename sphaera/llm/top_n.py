@@ -1,12 +1,18 @@
 """The N best rows of every group, by skipping row groups whose statistics rule them out.
 
-The candidates are written clustered by group, each group in descending order of its first score, into files of
-small row groups. The footers give, for every row group, its first and last group and its greatest score. Row
-groups are then read in waves, those of greatest score first; after each wave every group that has N rows has an
-N-th score, and a row group that holds one group only is skipped for good if its greatest score is strictly
-below that. Equal scores are read, so the tie rule sees all of them. A row group that holds the start of some
-group is read in the first wave. Reading, thresholds and skipping are DataFrame work; the driver sees one number
-a wave.
+The candidates are written clustered by group: groups are dealt into buckets, and the rows of a bucket lie in files
+of small row groups, first those that may be among the best of their group, then the others by how far they are below the
+best. Which may be is guessed from statistics of the group, its number of rows and its upper quantiles, halving by
+halving (a sketch merged map-side); so the best rows of every group of a bucket come first, and equal scores of a group stay together. A
+manifest, made of four columns of what was written, gives the greatest score of
+each group in each row group; row groups that mix groups have a line for each. Row groups are read in waves in
+that order, first those with likely rows; after each wave every group that has N rows has an N-th score, and a row group is skipped for good if its greatest
+score of every group it contains is strictly below that group's N-th score. Equal scores are read, so the tie rule sees
+all of them. A bad guess makes more row groups be read, never a wrong result. Reading, thresholds and skipping are DataFrame
+work; the driver sees one flag a wave.
+
+Buckets and depths are ranges of a sort, so a group that holds most rows spreads over many files and tasks. Row groups are
+smaller where there are fewer rows (``ROWS_PER_GROUP`` at most, else a sixty-fourth of the rows).
 
 Tie rule: the given orderings in turn, null and NaN behind every number, then the id.
 
@@ -25,7 +31,9 @@ from pyspark.sql import functions as F
 
 from sphaera import session
 
-ROWS_PER_GROUP = 20_000
+ROWS_PER_GROUP, LEAST_ROWS = 20_000, 16
+BUCKET = 64
+HALVINGS = 9
 
 
 def _last(value: Column, descending: bool) -> list[Column]:
@@ -35,52 +43,52 @@ def _last(value: Column, descending: bool) -> list[Column]:
     return [missing.cast("int"), number.desc_nulls_last() if descending else number.asc_nulls_last()]
 
 
-def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Statistics of each row group of the given files: first and last group key, greatest score."""
+def _opened(path: str):
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
+    scheme, _, rest = path.partition("://")
+    system, inner = fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
+    return pq.ParquetFile(inner, filesystem=system)
+
+
+def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row group of the given files: its bucket, least depth, and its groups with their greatest score."""
     for batch in batches:
-        out: dict[str, list] = {"path": [], "part": [], "first": [], "last": [], "best": [], "rows": []}
         for path in batch.column(0).to_pylist():
-            system, inner = fs.FileSystem.from_uri(path)
-            meta = pq.ParquetFile(inner, filesystem=system).metadata
-            names = [meta.schema.column(i).name for i in range(meta.num_columns)]
-            key, score = names.index("g"), names.index("s0")
-            for i in range(meta.num_row_groups):
-                group = meta.row_group(i)
-                keys, scores = group.column(key).statistics, group.column(score).statistics
-                for k, v in zip(out, (path, i, keys.min, keys.max, scores.max, group.num_rows)):
-                    out[k].append(v)
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+            file = _opened(path)
+            for part in range(file.metadata.num_row_groups):
+                t = file.read_row_group(part, columns=["b", "depth", "g", "s0"])
+                best = t.group_by(["b", "g"]).aggregate([("s0", "max"), ("depth", "min")])
+                n = best.num_rows
+                columns = [pa.array([path] * n, pa.string()), pa.array([part] * n, pa.int32()), best["b"].combine_chunks(), best["depth_min"].combine_chunks(), best["g"].combine_chunks(), best["s0_max"].combine_chunks()]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "part", "b", "depth", "g", "best"])
 
 
 def _reader(columns: list[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as fs
-        import pyarrow.parquet as pq
-
         for batch in batches:
             wanted: dict[str, list[int]] = {}
             for path, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 wanted.setdefault(path, []).append(part)
             for path, parts in wanted.items():
-                system, inner = fs.FileSystem.from_uri(path)
-                file = pq.ParquetFile(inner, filesystem=system)
+                file = _opened(path)
                 for part in sorted(parts):
                     yield from file.read_row_group(part, columns=columns).to_batches()
 
     return read
 
 
-def top_n(candidates: DataFrame, groups: list[str], scores: list[tuple[str, bool]], id_column: str, n: int, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
-    """(groups..., id, rank_no) of the best ``n`` of each group; scores: (column, descending), the first by descending."""
+def top_n(candidates: DataFrame, groups: list[str], scores: list[tuple[str, bool]], id_column: str, n: int, rows_per_group: int | None = None, report: dict[str, int] | None = None) -> DataFrame:
+    """(groups..., id, rank_no) of the best ``n`` of each group; scores: (column, descending), the first by descending.
+
+    ``report`` is told how many row groups there were and how many were read.
+    """
     spark = candidates.sparkSession
     named = [F.col(c).cast("double").alias(f"s{i}") for i, (c, _) in enumerate(scores)]
     key = F.xxhash64(*[F.col(c) for c in groups])
     rows = candidates.select(key.alias("g"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)], F.col(id_column).cast("long").alias("id"), *named)
-    rows = rows.where(F.col("s0").isNotNull() & ~F.isnan("s0") & F.col("id").isNotNull())
+    rows = session.materialize(rows.where(F.col("s0").isNotNull() & ~F.isnan("s0") & F.col("id").isNotNull()), "candidates")
     order: list[Column] = []
     for i, (_, descending) in enumerate(scores):
         order += _last(F.col(f"s{i}"), descending)
@@ -91,36 +99,48 @@ def top_n(candidates: DataFrame, groups: list[str], scores: list[tuple[str, bool
     def keep(df: DataFrame) -> DataFrame:
         return df.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= n)
 
+    halves = [1 - 0.5**k for k in range(1, HALVINGS + 1)]
+    spans = rows.groupBy("g").agg(F.max("s0").alias("high"), F.min("s0").alias("low"), F.count("*").alias("of"), F.percentile_approx("s0", halves, 1 << (HALVINGS + 1)).alias("upper"))
+    spans = session.materialize(spans, "spans")
+    total = spans.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
+    if rows_per_group is None:
+        rows_per_group = max(LEAST_ROWS, min(ROWS_PER_GROUP, total // 64))
+    buckets = max(1, total // (rows_per_group * BUCKET))
+    halved = F.floor(F.log2(F.col("of") / float(n))).cast("int")
+    likely = F.col("s0") >= F.when(halved < 1, F.col("low")).otherwise(F.get("upper", F.least(halved, F.lit(HALVINGS)) - 1))
+    below = F.coalesce((F.col("high") - F.col("s0")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
+    depth = F.when(likely, F.lit(0.0)).otherwise(F.when(F.isnan(below), F.lit(0.0)).otherwise(below) + 1.0)
+    clustered = rows.join(spans, "g").withColumn("depth", depth).withColumn("b", F.pmod(F.xxhash64("g", F.lit(3)), F.lit(buckets)).cast("int")).drop("high", "low", "of", "upper")
     path = session.scratch_path(spark, "topn")
-    clustered = rows.repartitionByRange("g", F.col("s0").desc(), "id").sortWithinPartitions("g", F.col("s0").desc(), "id")
+    clustered = clustered.repartitionByRange("b", "depth", "g", "id").sortWithinPartitions("b", "depth", "g", "id")
     clustered.write.option("parquet.block.row.count.limit", rows_per_group).option("parquet.page.row.count.limit", rows_per_group).parquet(path)
     files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
-    schema = "path string, part int, first long, last long, best double, rows long"
-    footers = session.materialize(files.mapInArrow(_footers, schema), "footers")
+    manifest = session.materialize(files.mapInArrow(_manifest, "path string, part int, b int, depth double, g long, best double"), "manifest")
 
-    spread = Window.partitionBy("first").orderBy(F.col("best").desc(), "path", "part")
-    single = footers.where("first = last").withColumn("place", F.row_number().over(spread))
-    waiting = session.materialize(single.select("path", "part", F.col("first").alias("g"), "best", "place"), "waiting")
+    parts = manifest.groupBy("path", "part").agg(F.min("b").alias("b"), F.min(F.struct("b", "depth")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("b", F.col("first.depth") < 1).orderBy("first", "path", "part"))
+    place = F.when(F.col("first.depth") < 1, 0).otherwise(place)
+    waiting = session.materialize(parts.withColumn("place", place).select("path", "part", "place"), "waiting")
     columns = [*by_group, "id", *(f"s{i}" for i in range(len(scores)))]
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     read_schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns)
+    if report is not None:
+        report.update(row_groups=waiting.count(), read=0)
 
-    def read(parts: DataFrame) -> DataFrame:
-        return parts.select("path", "part").repartition("path", "part").mapInArrow(_reader(columns), read_schema)
-
-    wave, taken, found = 0, 1, None
+    taken, found = 0, None
     while True:
-        parts = waiting.where(f"place <= {taken}")
-        if wave == 0:
-            parts = parts.select("path", "part").union(footers.where("first <> last").select("path", "part"))
-        fresh = keep(read(parts)).drop("rank_no")
+        these = waiting.where(f"place <= {taken}").select("path", "part")
+        if report is not None:
+            report["read"] += these.count()
+        fresh = keep(these.repartition("path", "part").mapInArrow(_reader(columns), read_schema)).drop("rank_no")
         found = session.materialize(keep(fresh if found is None else found.unionByName(fresh)).drop("rank_no"), "found")
         bar = found.groupBy(*by_group).agg(F.count("*").alias("have"), F.min("s0").alias("bar")).groupBy("g").agg(F.min("have").alias("have"), F.min("bar").alias("bar"))
-        rest = waiting.where(f"place > {taken}").join(bar, "g", "left").where((F.coalesce("have", F.lit(0)) < n) | (F.col("best") >= F.col("bar")))
-        waiting = session.materialize(rest.select("path", "part", "g", "best", "place"), "waiting")
+        left = waiting.where(f"place > {taken}")
+        may_hold = manifest.join(left, ["path", "part"]).join(bar, "g", "left").where((F.coalesce("have", F.lit(0)) < n) | (F.col("best") >= F.col("bar")))
+        waiting = session.materialize(may_hold.select("path", "part", "place").distinct(), "waiting")
         if waiting.isEmpty():
             break
-        wave, taken = wave + 1, taken * 2 + 1
+        taken = taken * 4 + 1
     result = keep(found)
     return result.select(*[F.col(f"g{i}").alias(c) for i, c in enumerate(groups)], F.col("id").alias(id_column), F.col("rank_no").cast("int").alias("rank_no"))
 
@@ -132,7 +152,7 @@ def latest_settings(summary: DataFrame) -> DataFrame:
     return summary.where("grid_id is not null").groupBy("grid_id").agg(F.max(F.struct(when.alias("w"), row.alias("r"))).alias("m")).select("grid_id", "m.r.*")
 
 
-def best_settings(summary: DataFrame, n: int = 3, complete_runs: int = 3, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+def best_settings(summary: DataFrame, n: int = 3, complete_runs: int = 3, rows_per_group: int | None = None, report: dict[str, int] | None = None) -> DataFrame:
     """(dataset, algorithm, grid_id, rank_no): the best settings of each dataset and algorithm."""
     scores = [("acc_mean", True), ("nmi_mean", True), ("f_measure_mean", True), ("runtime_seconds_mean", False)]
-    return top_n(latest_settings(summary).where(F.col("success_runs") == complete_runs), ["dataset", "algorithm"], scores, "grid_id", n, rows_per_group)
+    return top_n(latest_settings(summary).where(F.col("success_runs") == complete_runs), ["dataset", "algorithm"], scores, "grid_id", n, rows_per_group, report)

@@ -453,3 +453,11 @@ def test_queues_give_leaves_in_the_order_of_their_bounds_and_stop_at_the_nearest
     assert all(own[i] in leaves and len(leaves) <= 3 for i, leaves in seen.items())
     rows, _, visit = tree.visits(x[:40], np.full(40, 10.0), 5)
     assert np.bincount(rows).tolist() == [5] * 40 and visit.max() == 4
+
+
+def test_the_query_skips_row_groups_that_mix_groups(spark, small):
+    report: dict[str, int] = {}
+    summary = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/grid_summary.parquet")
+    got = {(r.grid_id, r.rank_no) for r in top_n.best_settings(summary, report=report).select("grid_id", "rank_no").collect()}
+    assert got == {(r.grid_id, r.rank_no) for r in queries.p4_found(spark, small.replace("sf0.001", "sf0.01")).collect()}
+    assert 0 < report["read"] < report["row_groups"]
