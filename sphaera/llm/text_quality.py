@@ -5,11 +5,15 @@ gaps; a document's statistics are sums over its lines. A text longer than ``CHUN
 end where there is one, else between words, else anywhere; its chunks are spread over tasks. A chunk gives the
 sums of its closed lines and the open first and last line as states; joining two chunks adds the sums and closes
 the line between them, and takes back the word that a cut in mid-word counted twice. Joining is associative, so
-chunks merge in a tree; ratios and outcomes come last. Texts within one chunk need no shuffle.
+chunks merge in a tree; ratios and outcomes come last. Texts within one chunk need no join.
 
 Definitions: a word is a run of letters and digits; a symbol is neither letter, digit nor white space; lines end
 at LF, CR or CRLF and count if not blank; end punctuation is one of ``END``; common words are ``COMMON``, in any case but for a capital ``A``, which mostly
-names things.
+names things. How many different words a text has is exact up to ``KEPT_HASHES`` and estimated from the smallest
+hashes beyond; the estimate joins associatively too.
+
+The text is read once: the scan writes finished rows of short texts, partial sums of the chunks of longer ones and, of
+texts beyond ``SPREAD``, the chunks themselves, which other tasks count.
 
 Defined results for odd input: null and blank texts have counts of 0, null ratios and no kind; rows without an id
 are skipped; repeated rows give one row; texts of any length count whole; empty tables give an empty result;
@@ -26,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 18
+from sphaera import session
+
+CHUNK, SPREAD = 1 << 13, 1 << 22
 FANOUT = 32
 END = ".!?;:…\"”'’»)"
 # Frequent function words of English, German and French.
@@ -40,9 +46,10 @@ KEPT_HASHES = 256
 _WORDS = re.compile(r"[^\W_]+")
 _CELLS = re.compile(r"\||\t|(?<=\S) {3,}|;(?=\S)")
 _RULE = re.compile(r"[\s+|=:-]*$")
-_NOISE = re.compile("[¬¦§{}~^¢°�□<>\\\\@#*!]")
+_NOISE = re.compile("[¬¦§{}~^¢°�□<>\\\\@#*!ÃÂ]")
 _HEX = re.compile(r"\s*[0-9a-fA-F]{6,16}:?\s+(?:[0-9a-fA-F]{2,4}\s*){4,}")
 _VOWELS = re.compile("[aeiouyäöüéèêàâîïôûùëœæøåáíóú]", re.IGNORECASE)
+_LONE_Q = re.compile("q(?!u)", re.IGNORECASE)
 _BREAKS = re.compile(r"\r\n|\r|\n")
 
 # A line's state: characters without white space, letters and digits, letters and digits in words too long or too
@@ -67,7 +74,7 @@ def _strange(word: str) -> bool:
     digits = sum(c.isdigit() for c in word)
     if digits == n:
         return n > 12
-    return vowels * 6 < n - digits or (0 < digits and n >= 8)
+    return vowels * 6 < n - digits or (0 < digits and n >= 8) or bool(_LONE_Q.search(word))
 
 
 def line_state(line: str, broken: bool = False) -> list[int]:
@@ -110,7 +117,7 @@ def join_lines(a: list[int], b: list[int], mid_word: bool) -> list[int]:
     out[WORDS] -= mid_word
     out[WHICH] = a[WHICH] | b[WHICH]
     out[LAST] = b[LAST] or a[LAST]
-    out[RULE], out[DUMP] = a[RULE] & b[RULE], a[DUMP]
+    out[RULE], out[DUMP] = a[RULE] & b[RULE], a[DUMP] if a[CHARS] else b[DUMP]
     return out
 
 
@@ -129,6 +136,8 @@ def line_kind(s: list[int]) -> int | None:
     prose = s[WORDS] >= 6 and distinct >= 2 and s[COMMONS] * 100 >= 14 * s[WORDS] and symbols * 100 <= 14 * s[CHARS] and s[CELLS] * 4 <= s[WORDS]
     if prose:
         return PROSE
+    if s[WORDS] >= 8 and s[ODD] * 8 > s[ALNUM] and s[COMMONS] * 10 < s[WORDS]:
+        return JUNK
     if s[CELLS] >= 2 or s[CELLS] == 1 and s[WORDS] <= 12:
         return TABLE if symbols * 2 <= s[CHARS] or s[CELLS] >= 3 else JUNK
     if symbols * 10 > s[CHARS] * 3:
@@ -175,7 +184,10 @@ class Partial:
         close(sums, self.head)
         if self.tail is not None:
             close(sums, self.tail)
-        return sums, len(self.hashes)
+        if len(self.hashes) < KEPT_HASHES:
+            return sums, len(self.hashes)
+        return sums, max(KEPT_HASHES, round((KEPT_HASHES - 1) * (1 << 32) / max(1, self.hashes[-1])))
+
 
 def close(sums: list[int], s: list[int]) -> None:
     """Add a whole line to the sums."""
@@ -201,7 +213,7 @@ def outcome(sums: list[int], distinct: int) -> str | None:
     solid = prose + entries + sums[TABLE] + sums[JUNK]
     if not solid:
         return None
-    if distinct < KEPT_HASHES and sums[N_WORDS] >= 20 and sums[N_WORDS] >= 8 * distinct:
+    if sums[N_WORDS] >= 20 and sums[N_WORDS] >= 8 * distinct:
         return "junk"
     if prose * 2 >= solid:
         return None
@@ -236,29 +248,45 @@ def cut_points(text: str, chunk: int) -> list[tuple[int, bool]]:
     return out
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done = [Partial.of(t.as_py() or "").finish() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in done], pa.list_(pa.int64())), pa.array([outcome(*d) for d in done], pa.string())], names=["doc_id", "sums", "kind"])
+_SCANNED = "doc_id long, text_hash long, no int, sums array<long>, head array<long>, tail array<long>, hashes array<long>, broken boolean, chunk string, kind string"
+_LONGS = pa.list_(pa.int64())
+_TYPES = {"doc_id": pa.int64(), "text_hash": pa.int64(), "no": pa.int32(), "sums": _LONGS, "head": _LONGS, "tail": _LONGS, "hashes": _LONGS, "broken": pa.bool_(), "chunk": pa.string(), "kind": pa.string()}
+
 
+def _scan(chunk: int, spread: int, all_rows: bool):
+    """Finished rows (no ``no``) of texts within a chunk, partial sums of chunks, and raw chunks of texts beyond ``spread``."""
 
-def _cut(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[dict] = []
             for doc, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                text = text.as_py()
+                text = text.as_py() or ""
+                if len(text) <= chunk:
+                    sums, distinct = Partial.of(text).finish()
+                    kind = outcome(sums, distinct)
+                    if all_rows or kind:
+                        rows.append({"doc_id": doc, "sums": sums, "kind": kind})
+                    continue
                 cuts = cut_points(text, chunk)
-                ends = [at for at, _ in cuts[1:]] + [len(text)]
-                for lo in range(0, len(cuts), 16):
-                    part = [(no, text[cuts[no][0] : ends[no]], cuts[no][1]) for no in range(lo, min(lo + 16, len(cuts)))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(part), pa.int64()), pa.array([digest] * len(part), pa.int64()), pa.array([p[0] for p in part], pa.int32()), pa.array([p[1] for p in part], pa.string()), pa.array([p[2] for p in part])],
-                        names=["doc_id", "text_hash", "no", "chunk", "broken"],
-                    )
+                for no, ((at, broken), (end, _)) in enumerate(zip(cuts, [*cuts[1:], (len(text), False)])):
+                    row = {"doc_id": doc, "text_hash": digest, "no": no, "broken": broken}
+                    if len(text) > spread:
+                        rows.append(row | {"chunk": text[at:end]})
+                    else:
+                        p = Partial.of(text[at:end], broken)
+                        rows.append(row | {"sums": p.sums, "head": p.head, "tail": p.tail, "hashes": p.hashes})
+                    if len(rows) >= 256:
+                        yield _rows(rows)
+                        rows = []
+            yield _rows(rows)
 
     return run
 
 
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in _TYPES.items()], names=list(_TYPES))
+
+
 def _arrow(rows: list[tuple[int, int, int, Partial]]) -> pa.Table:
     longs = pa.list_(pa.int64())
     return pa.table(
@@ -299,16 +327,19 @@ def _join_all(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([sums], pa.list_(pa.int64())), "kind": pa.array([outcome(sums, distinct)], pa.string())})
 
 
-def document_sums(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, sums, kind) of every document."""
+def document_sums(documents: DataFrame, chunk: int = CHUNK, spread: int = SPREAD, all_rows: bool = True) -> DataFrame:
+    """(doc_id, sums, kind) of every document, or of those with a kind."""
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(_whole, _DONE)
-    huge = texts.where(F.length("text") > chunk).withColumn("text_hash", F.xxhash64("text"))
-    pieces = huge.mapInArrow(_cut(chunk), "doc_id long, text_hash long, no int, chunk string, broken boolean")
-    pieces = pieces.repartition("doc_id", "text_hash", "no").dropDuplicates(["doc_id", "text_hash", "no"])
-    partial = pieces.mapInArrow(_chunks, _PARTIAL)
+    texts = texts.withColumn("text_hash", F.when(F.length("text") > chunk, F.xxhash64("text")))
+    scanned = session.materialize(texts.mapInArrow(_scan(chunk, spread, all_rows), _SCANNED), "lines")
+    columns = ["doc_id", "text_hash", "no", "sums", "head", "tail", "hashes", "broken"]
+    one = ["doc_id", "text_hash", "no"]
+    raw = scanned.where("chunk is not null").select(*one, "chunk", "broken").repartition(*one).dropDuplicates(one).mapInArrow(_chunks, _PARTIAL)
+    partial = scanned.where("no is not null and chunk is null").select(*columns).dropDuplicates(one).unionByName(raw)
     level = partial.withColumn("no_group", F.floor(F.col("no") / FANOUT).cast("int")).groupBy("doc_id", "text_hash", "no_group").applyInArrow(_join_some, _PARTIAL)
-    return small.unionByName(level.groupBy("doc_id", "text_hash").applyInArrow(_join_all, _DONE))
+    joined = level.groupBy("doc_id", "text_hash").applyInArrow(_join_all, _DONE)
+    done = scanned.where("no is null").select("doc_id", "sums", "kind").unionByName(joined)
+    return done if all_rows else done.where("kind is not null")
 
 
 def text_statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -334,4 +365,4 @@ def text_statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def not_prose(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, kind): documents most of whose text is not sentences."""
-    return document_sums(documents, chunk).where("kind is not null").select("doc_id", "kind").distinct()
+    return document_sums(documents, chunk, all_rows=False).select("doc_id", "kind").distinct()

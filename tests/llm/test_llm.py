@@ -461,3 +461,28 @@ def test_the_query_skips_row_groups_that_mix_groups(spark, small):
     got = {(r.grid_id, r.rank_no) for r in top_n.best_settings(summary, report=report).select("grid_id", "rank_no").collect()}
     assert got == {(r.grid_id, r.rank_no) for r in queries.p4_found(spark, small.replace("sf0.001", "sf0.01")).collect()}
     assert 0 < report["read"] < report["row_groups"]
+
+
+def test_letters_as_noise_and_words_of_no_language_are_junk():
+    prose = "The judge plainly raised the customary toll, but it was restricted by the order and should not be advanced. " * 3
+    kind = lambda t: text_quality.outcome(*text_quality.Partial.of(t).finish())
+    assert kind(prose) is None
+    assert kind("".join("Ã" + c for c in prose)) == "junk"
+    assert kind("Tiqguzurn nyx sahyxhe do vyrnrofeq nogylptolp negoqsalpfox befevuq pylpwutelp. Waqdulalpcyx rirnwarnpiq lylplanuqz de xyrnbeqwepoq. " * 4) == "junk"
+    assert kind("\n".join(f"Re Kirdegard [1999] 43 TCA Rep {i} at [61]" for i in range(20))) == "list"
+
+
+def test_the_same_words_over_and_over_are_junk_at_every_size():
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
+    text = ". ".join(" ".join(["the", "claim", "of", *words[k : k + 12], "and", "was", "not"]) for k in range(0, 600, 12))
+    kind = lambda t: text_quality.outcome(*text_quality.Partial.of(t).finish())
+    assert kind(text) is None
+    assert kind("\n".join([text] * 12)) == "junk"
+    _, distinct = text_quality.Partial.of(text).finish()
+    assert 0.8 * 606 < distinct < 1.25 * 606
+
+
+def test_spread_chunks_give_the_same_rows(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    rows = lambda **k: sorted(map(tuple, text_quality.document_sums(df, **k).distinct().collect()), key=str)
+    assert rows(chunk=400, spread=900) == rows(chunk=400, spread=1 << 30) == rows(chunk=1 << 30)
