@@ -17,63 +17,77 @@ from sphaera.clusterers.ball_clusterers import _radius_pass
 from sphaera.operators import balls, distance, windows
 from sphaera.operators.graph import connected_components
 
-COVER_LIMIT = 200_000
+def greedy_centres(ids: DataFrame, near: DataFrame) -> DataFrame:
+    """(sample_id): the samples that no earlier centre holds among its neighbours, as if taken one by one in the order of ids.
+
+    Each round takes those as centres that no undecided earlier sample can hold and drops what they hold; the rounds are
+    few, as the chains of undecided samples shrink on both sides. near: (a, b).
+    """
+    undecided = session.materialize(ids.select("sample_id").distinct(), "undecided")
+    edges = session.materialize(near.where("a < b").select("a", "b"), "held")
+    centres = undecided.limit(0)
+    while True:
+        fresh = session.materialize(undecided.join(edges.select(F.col("b").alias("sample_id")).distinct(), "sample_id", "left_anti"), "centres")
+        centres = centres.unionByName(fresh)
+        taken = edges.join(fresh.select(F.col("sample_id").alias("a")), "a", "left_semi").select(F.col("b").alias("sample_id")).distinct()
+        undecided = session.materialize(undecided.join(fresh, "sample_id", "left_anti").join(taken, "sample_id", "left_anti"), "undecided")
+        if undecided.isEmpty():
+            return centres
+        open_a, open_b = undecided.select(F.col("sample_id").alias("a")), undecided.select(F.col("sample_id").alias("b"))
+        edges = session.materialize(edges.join(open_a, "a", "left_semi").join(open_b, "b", "left_semi"), "held")
+
+
+def _follow(key: tuple, table: pa.Table) -> pa.Table:
+    """Unlabelled members of a ball follow the nearest labelled one, the first in the ball if equal, else the ball's own label."""
+    table = table.sort_by("place")
+    x, label = distance.rows_of(table.column("features")), table.column("label").to_numpy(zero_copy_only=False).astype(float)
+    known, fresh = np.nonzero(~np.isnan(label))[0], np.nonzero(np.isnan(label))[0]
+    if len(known):
+        given = [int(label[known[int(((x[known] - x[i]) ** 2).sum(1).argmin())]]) for i in fresh]
+    else:
+        given = [int(table.column("own")[0].as_py())] * len(fresh)
+    return pa.table({"sample_id": table.column("sample_id").take(pa.array(fresh, pa.int64())), "label": pa.array(given, pa.int32())})
 
 
 def gb_dbscan(samples: DataFrame, k: int = 0, ratio: float = 0.5, seed: int = 0) -> DataFrame:
     """Covers of nearest neighbours; core balls that meet form clusters, the rest follows near ones; labels 0...
 
-    In the order of ids, a sample that no ball holds yet makes a ball of itself and its nearest neighbours. Only
-    the neighbour ids, int(0.3 ceil(sqrt n)) a sample, reach the driver, for at most ``COVER_LIMIT`` samples; a
-    larger table is covered sample by sample within the balls of a generator that cuts it to that size first.
+    In the order of ids, a sample that no ball holds yet makes a ball of itself and its int(0.3 ceil(sqrt n)) - 1 nearest
+    neighbours. Balls meet on the driver, where only their centres and radii come (about 3.3 sqrt n of them); covers and labels
+    stay tables. A sample in several core balls takes the label of the last; balls that are no cores are labelled in their
+    order, those that share no unlabelled sample with an earlier one at once.
     """
     n = samples.count()
-    if n > COVER_LIMIT:
-        share = math.ceil(n / COVER_LIMIT * 4)
-        members = balls.generate(samples, lambda x: K.split_all(x, lambda y: K.by_two_means(y, 1) if len(y) > share else None))
-        mid = balls.centers(members)
-        numbered = mid.withColumn("sample_id", F.xxhash64("ball"))
-        numbered = session.materialize(numbered.select("ball", "sample_id", F.col("center").alias("features")), "covers")
-        label = gb_dbscan(numbered.select("sample_id", "features"), k, ratio)
-        return members.select("sample_id", "ball").join(numbered.join(label, "sample_id").select("ball", "label"), "ball").select("sample_id", "label")
     size = max(2, int(math.ceil(math.sqrt(n)) * 0.3))
-    near = distance.knn(samples, size - 1)
-    lists = near.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda s: s["b"]).alias("near"))
-    taken: set[int] = set()
-    cover = []
-    for row in samples.select("sample_id").join(lists, samples["sample_id"] == lists["a"], "left").orderBy("sample_id").select("sample_id", "near").toLocalIterator():
-        if row.sample_id not in taken:
-            ball = [row.sample_id, *(row.near or [])]
-            taken.update(ball)
-            cover.append(ball)
-    spark = samples.sparkSession
-    pairs = pa.table({"ball": pa.array([i for i, b in enumerate(cover) for _ in b], pa.int64()), "sample_id": pa.array([s for b in cover for s in b], pa.int64())})
-    held = session.materialize(spark.createDataFrame(pairs).join(samples, "sample_id"), "cover")
+    near = session.materialize(distance.knn(samples, size - 1), "near")
+    centres = greedy_centres(samples, near)
+    own = centres.select(F.col("sample_id").alias("ball"), "sample_id", F.lit(0).alias("place"))
+    around = near.join(centres.select(F.col("sample_id").alias("a")), "a", "left_semi").select(F.col("a").alias("ball"), F.col("b").alias("sample_id"), F.col("rank").alias("place"))
+    held = session.materialize(own.unionByName(around).join(samples.select("sample_id", "features"), "sample_id"), "cover")
     s = balls.collect_balls(balls.ball_stats(held))
-    r, c = s["max_radius"], s["center"]
+    name, r, c = s["ball"], s["max_radius"], s["center"]
     bar = np.sort(r)[max(int(len(r) * ratio), 1) - 1]
-    core = np.nonzero(r <= bar)[0]
+    core, rest = np.nonzero(r <= bar)[0], np.nonzero(r > bar)[0]
     part = K.components(K.pairwise(c[core], c[core]) <= r[core][:, None] + r[core][None, :])
-    label: dict[int, int] = {}
-    for place, b in enumerate(core):
-        for i in cover[b]:
-            label[i] = int(part[place])
-    rest = [b for b in range(len(cover)) if r[b] > bar]
-    x = {row.sample_id: np.array(row.features) for row in held.where(F.col("ball").isin(rest) if len(rest) < 1000 else F.col("ball") >= 0).select("sample_id", "features").distinct().toLocalIterator()} if rest else {}
-    core_label = {int(b): int(part[i]) for i, b in enumerate(core)}
-    for b in rest:
-        known = [i for i in cover[b] if i in label]
-        fresh = [i for i in cover[b] if i not in label]
-        if known:
-            at = np.stack([x[i] for i in known])
-            for i in fresh:
-                label[i] = label[known[int(((at - x[i]) ** 2).sum(1).argmin())]]
-        else:
-            nearest = int(core[((c[core] - c[b]) ** 2).sum(1).argmin()])
-            for i in fresh:
-                label[i] = core_label[nearest]
-    table = pa.table({"sample_id": pa.array(list(label), pa.int64()), "label": pa.array(list(label.values()), pa.int32())})
-    return spark.createDataFrame(table)
+    nearest = [part[int(((c[core] - c[b]) ** 2).sum(1).argmin())] for b in rest]
+    spark = samples.sparkSession
+    told = lambda balls_, labels: spark.createDataFrame(pa.table({"ball": pa.array([int(b) for b in balls_], pa.int64()), "own": pa.array([int(x) for x in labels], pa.int32())}))
+    label = held.join(told(name[core], part), "ball").groupBy("sample_id").agg(F.max_by("own", "ball").alias("label"))
+    label = session.materialize(label, "labels")
+    if not len(rest):
+        return label
+    waiting = session.materialize(held.join(told(name[rest], nearest), "ball"), "waiting")
+    while True:
+        unknown = session.materialize(waiting.join(label, "sample_id", "left"), "unknown")
+        fresh = unknown.where("label is null")
+        if fresh.isEmpty():
+            return label
+        first = fresh.groupBy("sample_id").agg(F.min("ball").alias("first"))
+        blocked = fresh.join(first, "sample_id").where("first < ball").select("ball").distinct()
+        ready = session.materialize(unknown.join(fresh.select("ball").distinct(), "ball", "left_semi").join(blocked, "ball", "left_anti"), "ready")
+        given = ready.groupBy("ball").applyInArrow(_follow, "sample_id long, label int")
+        label = session.materialize(label.unionByName(given), "labels")
+        waiting = session.materialize(waiting.join(ready.select("ball").distinct(), "ball", "left_anti"), "waiting")
 
 
 def sagbc(samples: DataFrame, k: int = 0, tau: float = 0.1, sample_size: int | None = None, neighbours: int = 5, scale: float = 2.0, seed: int = 1) -> DataFrame:
@@ -349,9 +363,8 @@ def _core_distances(cores: list[int], owned: dict[int, set[int]], rep: np.ndarra
 # Three-way clustering by peeling borders.
 
 
-def _within(block: tuple[np.ndarray, np.ndarray]):
-    """Links of samples to those of a block within their threshold, as a forest; the nearest one is left out."""
-    ids, x = block
+def _within(files: distance.Corpus):
+    """Links of samples to those of a corpus within their threshold, as a forest; the nearest one is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
@@ -362,19 +375,23 @@ def _within(block: tuple[np.ndarray, np.ndarray]):
                 i = root[i]
             return i
 
-        out: list[tuple[int, int]] = []
-        for batch in batches:
-            a = batch.column(0).to_numpy()
-            q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
-            limit, skip = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(a), 512):
-                d = K.pairwise(q[lo : lo + 512], x)
-                i, j = np.nonzero(d <= limit[lo : lo + 512, None])
-                for p, r, s in zip(a[lo + i].tolist(), ids[j].tolist(), skip[lo + i].tolist()):
-                    if p != r and r != s and find(p) != find(r):
-                        root[find(p)] = find(r)
-                        out.append((p, r))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+        asked = [b for b in batches if b.num_rows]
+        for block in distance.read_blocks(files, ["sample_id", "features"]) if asked else ():
+            ids, x = block.column(0).to_numpy(), distance.rows_of(block.column(1))
+            out: list[tuple[int, int]] = []
+            for batch in asked:
+                a = batch.column(0).to_numpy()
+                q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
+                limit, skip = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+                step = max(1, (1 << 22) // len(ids))
+                for lo in range(0, len(a), step):
+                    d = K.pairwise(q[lo : lo + step], x)
+                    i, j = np.nonzero(d <= limit[lo : lo + step, None])
+                    for p, r, s in zip(a[lo + i].tolist(), ids[j].tolist(), skip[lo + i].tolist()):
+                        if p != r and r != s and find(p) != find(r):
+                            root[find(p)] = find(r)
+                            out.append((p, r))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -414,13 +431,7 @@ def m3w(samples: DataFrame, k: int = 0, neighbours: int = 8, levels: int = 3, sh
     first = distance.knn(current, 1).select(F.col("a").alias("sample_id"), F.col("b").alias("nearest"))
     told = current.join(first, "sample_id", "left").select("sample_id", "features", "limit", (F.col("nearest") if skip_first else F.lit(None).cast("long")).alias("nearest"))
     told = session.materialize(told.withColumn("nearest", F.coalesce("nearest", F.lit(-1))), "cores")
-    edges = None
-    for block in distance._blocks(current):
-        rows = block.orderBy("sample_id").toArrow()
-        if rows.num_rows:
-            x = rows.column("features").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-            part = told.mapInArrow(_within((rows.column("sample_id").to_numpy(), x)), "a long, b long")
-            edges = part if edges is None else edges.unionByName(part)
+    edges = told.mapInArrow(_within(distance.write_corpus(current.select("sample_id", "features"))), "a long, b long")
     parts = connected_components(edges)
     number = parts.select("component").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
     core = session.materialize(current.select("sample_id", "features").join(parts.join(number, "component").select(F.col("node").alias("sample_id"), "cluster"), "sample_id", "left"), "core")

@@ -101,8 +101,8 @@ def refine(members: DataFrame, kernel: Kernel) -> DataFrame:
     return session.materialize(done, "balls")
 
 
-def collect_balls(stats: DataFrame, limit: int = 20_000) -> dict[str, np.ndarray]:
-    """Ball statistics as arrays in the order of the balls; refuses more than ``limit`` balls."""
+def collect_balls(stats: DataFrame, limit: int = 6_000) -> dict[str, np.ndarray]:
+    """Ball statistics as arrays in the order of the balls; refuses more than ``limit`` balls, whose distances would take 0.3 GB."""
     m = stats.count()
     if m > limit:
         raise ValueError(f"{m} balls are more than the {limit} a ball graph is built for; ask for larger balls")

@@ -1,15 +1,15 @@
 """Distance joins: nearest neighbours, overlaps and the graphs built from them.
 
-The nearest-neighbour joins take the queries in Arrow batches against blocks of the corpus. A block holds at most
-``BLOCK_BYTES`` of vectors, so what a task receives does not grow with the data; the best of each block are merged
-by a top-k aggregate. Distances are summed entry by entry; equal ones are ordered by id.
+The nearest-neighbour joins take the queries in Arrow batches against blocks of the corpus. The corpus is written once to the
+shared folder in files of at most ``BLOCK_BYTES`` of vectors; each task of the queries reads one block after the other
+and keeps the best k, so neither side is shuffled, nothing but file names passes through the driver, and what a task holds does
+not grow with the corpus. Distances are summed entry by entry; equal ones are ordered by id.
 
 Rows with null ids or features are skipped; repeated ids count once each; empty sides give no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,70 +17,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sphaera import session
 from sphaera.functions.vectors import distance
 
 BLOCK_BYTES = 64 << 20
-_KNN = "a long, b long, d double"
+_KNN = "a long, b long, d double, rank int"
+QUERY_ROWS = 16_384
 
+Corpus = list[str]
 
-def _block_nearest(block: tuple[np.ndarray, np.ndarray], k: int, skip_same: bool):
-    ids, x = block
+
+def write_corpus(corpus: DataFrame) -> Corpus:
+    """The files of the rows (sample_id, features, ...) of a corpus, each at most ``BLOCK_BYTES`` of vectors."""
+    spark = corpus.sparkSession
+    path = session.scratch_path(spark, "corpus")
+    width = corpus.agg(F.max(F.size("features"))).first()[0] or 1
+    corpus.write.option("maxRecordsPerFile", max(1, BLOCK_BYTES // (width * 8 + 8))).parquet(path)
+    return [f"{path}/{name}" for name in sorted(session.names_in(spark, path)) if name.endswith(".parquet")]
+
+
+def read_blocks(files: Corpus, columns: list[str]) -> Iterator[pa.Table]:
+    """The blocks of a corpus in a task, in the order of their files."""
+    for f in files:
+        block = session.open_parquet(f).read(columns=columns)
+        if block.num_rows:
+            yield block
+
+
+def rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal width as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _block_nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, distance) of the k rows of a block nearest to each query, in that order."""
     middle = x.mean(0)
     centred = x - middle
     squares = (centred * centred).sum(1)
-
+    found = []
+    step = max(1, (1 << 22) // max(1, len(ids)))
+    for lo in range(0, len(q_ids), step):
+        part, part_ids = q[lo : lo + step], q_ids[lo : lo + step]
+        p = part - middle
+        pp = (p * p).sum(1)
+        rough = pp[:, None] + squares[None, :] - 2.0 * (p @ centred.T)
+        if skip_same:
+            rough[part_ids[:, None] == ids[None, :]] = np.inf
+        limit = np.full(len(part), np.inf)
+        if len(ids) > k:
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2e-9 * (pp + squares.max())
+        i, j = np.nonzero((rough <= limit[:, None]) & (rough < np.inf))
+        total = np.zeros(len(i))
+        for c in range(x.shape[1]):
+            diff = part[i, c] - x[j, c]
+            total += diff * diff
+        found.append((i + lo, ids[j], np.sqrt(total)))
+    return tuple(np.concatenate(c) for c in zip(*found))  # type: ignore[return-value]
+
+
+def _top(i: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each row and their ranks."""
+    order = np.lexsort((ids, d, i))
+    i, ids, d = i[order], ids[order], d[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    top = rank < k
+    return i[top], ids[top], d[top], rank[top] + 1
+
+
+def _search(files: Corpus, k: int, skip_same: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, (1 << 22) // max(1, len(ids)))
+        held: list[pa.RecordBatch] = []
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            q_ids, q = t.column(0).to_numpy(), rows_of(t.column(1))
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            rank = np.empty(0, np.int64)
+            for block in read_blocks(files, ["sample_id", "features"]):
+                found = _block_nearest(q_ids, q, block.column(0).to_numpy(), rows_of(block.column(1)), k, skip_same)
+                *best, rank = _top(*(np.concatenate(c) for c in zip(best, found)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2]), pa.array(rank.astype(np.int32))], names=["a", "b", "d", "rank"])
+
         for batch in batches:
-            q_ids = batch.column(0).to_numpy()
-            q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
-            for lo in range(0, len(q_ids), step):
-                part, part_ids = q[lo : lo + step], q_ids[lo : lo + step]
-                p = part - middle
-                pp = (p * p).sum(1)
-                rough = pp[:, None] + squares[None, :] - 2.0 * (p @ centred.T)
-                if skip_same:
-                    rough[part_ids[:, None] == ids[None, :]] = np.inf
-                limit = np.full(len(part), np.inf)
-                if len(ids) > k:
-                    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2e-9 * (pp + squares.max())
-                i, j = np.nonzero((rough <= limit[:, None]) & (rough < np.inf))
-                total = np.zeros(len(i))
-                for c in range(x.shape[1]):
-                    diff = part[i, c] - x[j, c]
-                    total += diff * diff
-                d = np.sqrt(total)
-                order = np.lexsort((ids[j], d, i))
-                i, j, d = i[order], j[order], d[order]
-                top = np.arange(len(i)) - np.searchsorted(i, i) < k
-                yield pa.RecordBatch.from_arrays([pa.array(part_ids[i[top]]), pa.array(ids[j[top]]), pa.array(d[top])], names=["a", "b", "d"])
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= QUERY_ROWS:
+                yield from answered()
+                held.clear()
+        if held:
+            yield from answered()
 
     return run
 
 
-def _blocks(corpus: DataFrame) -> list[DataFrame]:
-    n, width = corpus.agg(F.count("*"), F.max(F.size("features"))).first()
-    count = max(1, math.ceil((n or 0) * ((width or 1) * 8 + 8) / BLOCK_BYTES))
-    return [corpus.where(F.pmod(F.xxhash64("sample_id"), F.lit(count)) == b) for b in range(count)]
-
-
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, skip_same: bool = True) -> DataFrame:
     """(a, b, d, rank): the k rows of ``corpus`` nearest to each query; both (sample_id, features)."""
     known = lambda df: df.where("sample_id is not null and features is not null").select(F.col("sample_id").cast("long").alias("sample_id"), F.col("features").cast("array<double>").alias("features"))
-    queries, corpus = known(queries), known(corpus)
-    found = None
-    for block in _blocks(corpus):
-        rows = block.orderBy("sample_id").toArrow()
-        if not rows.num_rows:
-            continue
-        ids = rows.column("sample_id").to_numpy()
-        x = rows.column("features").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        part = queries.mapInArrow(_block_nearest((ids, x), k, skip_same), _KNN)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], _KNN + ", rank int")
-    nearest = Window.partitionBy("a").orderBy("d", "b")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return known(queries).mapInArrow(_search(write_corpus(known(corpus)), k, skip_same), _KNN)
 
 
 def knn(samples: DataFrame, k: int) -> DataFrame:

@@ -95,6 +95,16 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
 
 
+def open_parquet(path: str):
+    """A parquet file of the shared folder, opened in a task by its full path."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    scheme, colon, rest = path.partition(":")
+    system, inner = fs.FileSystem.from_uri(f"s3:{rest}" if colon and scheme in ("s3a", "s3n") else path)
+    return pq.ParquetFile(inner, filesystem=system)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -43,12 +43,14 @@ def test_every_clusterer_labels_every_sample(blobs, name):
         assert len(set(got)) == 3
 
 
-def test_two_triples(spark):
-    df = frame(spark, [[0.0], [0.1], [0.2], [4.0], [4.1], [4.2]])
-    got = labels_of(CLUSTERERS["gb_pojg_gbdpc"].run(df, 2, gamma=0.0, delta=0.5))
-    assert set(got) == {1, 2} and len(got) == 6
-    members = pojg_balls(df, 0.0, 0.5).toPandas()
-    assert sorted(members.sample_id) == list(range(6))
+def test_far_apart_clumps_of_unequal_size_are_two_clusters(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.uniform(-1, 1, (14, 2)), rng.uniform(-1, 1, (9, 2)) + [30, -20]])
+    got = labels_of(CLUSTERERS["gb_pojg_gbdpc"].run(frame(spark, x), 2, gamma=0.1, delta=0.5))
+    assert len(set(got[:14])) == 1 and len(set(got[14:])) == 1 and got[0] != got[20]
+    members = pojg_balls(frame(spark, x), 0.1, 0.5).toPandas()
+    assert sorted(members.sample_id) == list(range(23))
+    assert members.groupby("ball").sample_id.apply(lambda m: (m < 14).nunique()).max() == 1
 
 
 def test_quality_balls_by_plain_recursion(spark):
@@ -86,18 +88,22 @@ def test_quality_balls_by_plain_recursion(spark):
     assert set(got) == set(done)
 
 
-def test_two_quadruples(spark):
-    df = frame(spark, [[0.0], [0.1], [0.2], [0.3], [4.0], [4.1], [4.2], [4.3]])
-    got = labels_of(CLUSTERERS["gbsc"].run(df, 2, seed=1, sigma=1.0))
-    assert len(got) == 8 and min(got) >= 0
-    assert sorted(gbsc_balls(df).toPandas().sample_id) == list(range(8))
+def test_spectral_balls_cut_between_far_clumps(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 0.3, (25, 3)), rng.normal(0, 0.3, (16, 3)) + 6])
+    got = labels_of(CLUSTERERS["gbsc"].run(frame(spark, x), 2, seed=1, sigma=1.0))
+    assert len(set(got[:25])) == 1 and len(set(got[25:])) == 1 and got[0] != got[30]
+    balls_ = gbsc_balls(frame(spark, x)).toPandas()
+    assert sorted(balls_.sample_id) == list(range(41))
+    assert balls_.groupby("ball").sample_id.apply(lambda m: (m < 25).nunique()).max() == 1
 
 
-def test_two_segments(spark):
-    x = np.concatenate([np.linspace(0, 0.7, 32), np.linspace(4, 4.7, 32)])[:, None]
-    got = labels_of(CLUSTERERS["sagbc"].run(frame(spark, x), 2, seed=1, sample_size=64))
-    assert len(got) == 64 and min(got) >= -1
-    assert not set(got[:32]) & set(got[32:]) - {-1}
+def test_anchored_balls_follow_curves(spark):
+    t = np.linspace(0, np.pi, 90)
+    x = np.concatenate([np.stack([np.cos(t), np.sin(t)], 1), np.stack([np.cos(t), np.sin(t) + 5], 1)])
+    got = labels_of(CLUSTERERS["sagbc"].run(frame(spark, x), 2, seed=1, sample_size=180))
+    assert len(got) == 180 and not set(got[:90]) & set(got[90:]) - {-1}
+    assert (got == -1).mean() < 0.2
 
 
 def test_equal_rows_and_constant_columns_do_not_crash(spark):
