@@ -289,25 +289,38 @@ def _gram(state: DataFrame, m: int, power: float) -> tuple[np.ndarray, np.ndarra
     return q, scale[:, None] * g * scale[None, :]
 
 
+def _over(share: float, variance: float) -> float:
+    return share / variance if variance > 0 else math.inf
+
+
 def mgagc(samples: DataFrame, k: int, near: int = 5, beta: float = 1.0, weight: float = 1.0, min_points: int = 2, rounds: int = 20, tolerance: float = 1e-4, seed: int = 0) -> DataFrame:
     """Learned graph of samples and anchors until it has k components; labels are its components.
 
-    Rows of the graph, feature weights and spectral coordinates take turns. A row's spectral coordinates follow from
-    its entries and the eigenvectors of the anchors' Gram matrix, so no sample-sized matrix exists.
+    Feature weights, rows of the graph and spectral coordinates take turns; the graph of least objective stays unless one has k
+    components, where anchors without ties count as components. A row's spectral coordinates follow from its entries
+    and the eigenvectors of the anchors' Gram matrix, so no sample-sized matrix exists. A ball is split if the
+    children's adaptive densities, their shares over the variances of their radii, sum to at least its own; the
+    first ball of a task counts as having none.
     """
 
-    def density(x: np.ndarray, of: int) -> float:
-        v = K.radii(x).var()
-        return (len(x) / of) / v if v > 0 else math.inf
-
-    def split(x: np.ndarray) -> np.ndarray | None:
-        left = K.by_two_means(x, seed) if len(x) > 2 * min_points else None
-        if left is None or min(left.sum(), (~left).sum()) <= min_points:
-            return None
-        children = (density(x[left], len(x)) + density(x[~left], len(x))) / 2
-        return left if children >= density(x, len(x)) else None
-
-    a = _ball_anchors(balls.generate(samples, lambda x: K.split_all(x, split)))
+    def kernel(x: np.ndarray) -> np.ndarray:
+        number, done = np.zeros(len(x), np.int64), 0
+        stack = [(np.arange(len(x)), 0.0)]
+        while stack:
+            who, share = stack.pop()
+            part = x[who]
+            left = K.by_two_means(part, seed) if len(who) > min_points else None
+            if left is not None and min(left.sum(), (~left).sum()) > min_points:
+                shares = (left.mean(), 1 - left.mean())
+                children = sum(_over(s, K.radii(part[side]).var()) for s, side in zip(shares, (left, ~left)))
+                if children >= _over(share, K.radii(part).var()):
+                    stack += [(who[~left], shares[1]), (who[left], shares[0])]
+                    continue
+            number[who] = done
+            done += 1
+        return number
+
+    a = _ball_anchors(balls.generate(samples, kernel))
     m, near = len(a), min(near, len(a))
     w = np.full(a.shape[1], 1.0 / a.shape[1])
 
@@ -343,26 +356,40 @@ def mgagc(samples: DataFrame, k: int, near: int = 5, beta: float = 1.0, weight:
 
         return run
 
-    state = session.materialize(samples.select("sample_id", "features").mapInArrow(first, _ROWS), "z")
-    best, before = state, None
-    scale = weight
-    for _ in range(rounds):
+    c = min(k, m)
+
+    def seen(state: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+        """Column sums, the leading singular vectors and values of the normalised graph, residuals of the features, squares."""
         q, g = _gram(state, m, -0.5)
         values, vectors = np.linalg.eigh((g + g.T) / 2)
-        c = min(k, m)
-        v, s = vectors[:, -c:], np.sqrt(np.maximum(values[-c:], 1e-12))
         total = np.zeros(a.shape[1])
         for r in state.mapInArrow(residual, "f int, s double").groupBy("f").agg(F.sum("s").alias("s")).collect():
             total[r.f] = r.s
+        squares = state.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda t, z: t + z * z))).first()[0]
+        return q, vectors[:, -c:], np.sqrt(np.maximum(values[-c:], 1e-12)), total, float(squares or 0.0)
+
+    def objective(s: np.ndarray, total: np.ndarray, squares: float) -> float:
+        return float((w * w * total).sum()) + beta * squares + scale * float(2 * c - 2 * s.sum())
+
+    scale = weight
+    state = best = session.materialize(samples.select("sample_id", "features").mapInArrow(first, _ROWS), "z")
+    q, v, s, total, squares = seen(state)
+    least = before = objective(s, total, squares)
+    for _ in range(rounds):
         w = 1 / np.maximum(total, 1e-12)
         w /= w.sum()
-        state = session.materialize(state.select(*["sample_id", "features", "near", "z"]).mapInArrow(update(w, q, v, s, scale), _ROWS), "z")
-        count = len(np.unique(_anchor_parts(state, m)[_used(state)]))
-        cost = float((w * w * total).sum())
-        best = state
-        if count == k or before is not None and abs(before - cost) < tolerance and count >= k:
+        state = session.materialize(state.select("sample_id", "features", "near", "z").mapInArrow(update(w, q, v, s, scale), _ROWS), "z")
+        count = int(_anchor_parts(state, m).max()) + 1
+        if count == k:
+            best = state
             break
+        q, v, s, total, squares = seen(state)
+        cost = objective(s, total, squares)
         scale = float(np.clip(scale * (2.0 if count < k else 0.5), 1e-6, 1e6))
+        if cost < least:
+            least, best = cost, state
+        if abs(before - cost) < tolerance:
+            break
         before = cost
     part = _anchor_parts(best, m)
 
@@ -379,10 +406,6 @@ def _links(state: DataFrame) -> DataFrame:
     return state.select(F.array_sort(kept).alias("near")).where("size(near) > 0")
 
 
-def _used(state: DataFrame) -> np.ndarray:
-    return np.array(sorted(r[0] for r in _links(state).select(F.explode("near")).distinct().collect()), int)
-
-
 def _anchor_parts(state: DataFrame, m: int) -> np.ndarray:
     """Components of the anchors that samples tie together."""
     ties = _links(state).select(F.col("near")[0].alias("a"), F.explode("near").alias("b")).distinct().collect()

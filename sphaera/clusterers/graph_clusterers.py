@@ -100,17 +100,20 @@ def sagbc(samples: DataFrame, k: int = 0, tau: float = 0.1, sample_size: int | N
     t = min(sample_size or max(2, int(min(20_000, n) * tau)), n)
     bound = max(2, math.ceil(math.sqrt(t))) if sample_size is None else 8
     drawn = samples.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(t)
-    cut = balls.generate(drawn, lambda x: K.split_all(x, lambda y: K.by_farthest(y, False) if len(y) > bound else None))
+    cut = balls.generate(drawn, lambda x: K.split_all(x, lambda y: K.by_first_end(y) if len(y) > bound else None))
     mid = balls.centers(cut).withColumn("sample_id", F.xxhash64("ball"))
-    anchors = session.materialize(mid.select("sample_id", F.col("center").alias("features")), "anchors")
+    anchors = session.materialize(mid.select("sample_id", "ball", F.col("center").alias("features")), "anchors")
     graph = session.materialize(distance.anchor_graph(samples, anchors, min(neighbours, anchors.count())), "graph")
     radius = graph.groupBy("anchor_id").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("radius"))
     left = graph.select("sample_id", F.col("anchor_id").alias("a"))
     shared = left.join(graph.select("sample_id", F.col("anchor_id").alias("b")), "sample_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    at = lambda name: anchors.select(F.col("sample_id").alias(name), F.col("features").alias(f"x{name}"))
+    wide = anchors.join(radius, anchors["sample_id"] == radius["anchor_id"])
+    at = lambda name: wide.select(F.col("sample_id").alias(name), F.col("features").alias(f"x{name}"), F.col("ball").alias(f"ball_{name}"), F.col("radius").alias(f"r{name}"))
     from sphaera.functions.vectors import distance as apart
 
-    edges = shared.join(at("a"), "a").join(at("b"), "b").join(radius, shared["a"] == radius["anchor_id"]).where(apart(F.col("xa"), F.col("xb")) <= scale * F.col("radius"))
+    # The anchor that comes first in the order of the balls looks for the other.
+    reach = F.when(F.col("ball_a") < F.col("ball_b"), F.col("ra")).otherwise(F.col("rb"))
+    edges = shared.join(at("a"), "a").join(at("b"), "b").where(apart(F.col("xa"), F.col("xb")) <= scale * reach)
     parts = connected_components(edges.select("a", "b"))
     number = parts.select("component").distinct().withColumn("label", F.row_number().over(Window.orderBy("component")) - 1)
     labelled = graph.join(parts.join(number, "component"), graph["anchor_id"] == F.col("node"))

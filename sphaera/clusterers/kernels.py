@@ -52,6 +52,12 @@ def by_farthest(x: np.ndarray, ties_first: bool) -> np.ndarray | None:
     return left
 
 
+def by_first_end(x: np.ndarray) -> np.ndarray | None:
+    """Which rows go left: those strictly nearer to the first end of the farthest pair; None if all rows are equal."""
+    right = by_farthest(x[::-1], False) if len(x) > 1 else None
+    return None if right is None else right[::-1]
+
+
 def by_two_steps(x: np.ndarray) -> np.ndarray | None:
     """Ends: the row farthest from the mean, and the one farthest from that; ties go to the second."""
     if len(x) < 2:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from sphaera import session
 from sphaera.clusterers.registry import CLUSTERERS
 from sphaera.operators import metrics
+from sphaera.sources import files
 
 KEY = ["algorithm", "dataset", "seed", "params"]
 SCHEMA = "algorithm string, dataset string, seed int, params string, status string, " + ", ".join(f"{m} double" for m in metrics.NAMES) + ", runtime_seconds double, error_type string, error_message string, error_trace string"
@@ -90,8 +91,11 @@ def pending(plan: DataFrame, runs: DataFrame) -> DataFrame:
     return plan.join(runs.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def run_grid(samples: DataFrame, k: int, plan: DataFrame, path: str, average: str = "geometric") -> DataFrame:
-    """Make the pending runs of ``plan`` on ``samples`` and append each to the run table at ``path``."""
+def run_grid(samples: DataFrame, k: int, plan: DataFrame, path: str, average: str = "geometric", labels_path: str | None = None) -> DataFrame:
+    """Make the pending runs of ``plan`` on ``samples`` and append each to the run table at ``path``.
+
+    Labels are appended to the table at ``labels_path``, where given, under the run's key.
+    """
     spark = samples.sparkSession
     done = spark.read.schema(SCHEMA).parquet(path) if session.path_exists(spark, path) else spark.createDataFrame([], SCHEMA)
     for run in pending(plan, done).orderBy(*KEY).collect():
@@ -100,6 +104,8 @@ def run_grid(samples: DataFrame, k: int, plan: DataFrame, path: str, average: st
         try:
             labels = session.materialize(CLUSTERERS[run.algorithm].run(samples, k, seed=run.seed, **json.loads(run.params)), "labels")
             row |= {"runtime_seconds": time.time() - began, "status": "success"}
+            if labels_path:
+                files.append_labels(labels, labels_path, **{c: run[c] for c in KEY})
             row |= metrics.evaluate(samples.select("sample_id", "y").join(labels, "sample_id"), average).first().asDict()
         except Exception as error:  # a failed run is a result
             row |= {"runtime_seconds": time.time() - began, "status": "failed", "error_type": type(error).__name__, "error_message": str(error)[:500], "error_trace": traceback.format_exc()[-4000:]}
@@ -130,6 +136,15 @@ def summarise(runs: DataFrame, by: Sequence[str], names: Sequence[str] = metrics
     return runs.groupBy(*by).agg(*columns)
 
 
+def exact_spread(runs: DataFrame, by: str, metric: str) -> DataFrame:
+    """Mean and population deviation of a metric, to the millionth, from exact sums of its millionths."""
+    v = F.round(F.col(metric) * 1_000_000).cast("long")
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    sums = runs.select(by, v.alias("v")).groupBy(by).agg(F.sum("v").cast("double").alias("a"), F.sum((F.col("v") * F.col("v")).cast("decimal(38,0)")).cast("double").alias("b"), F.count("*").cast("double").alias("n"))
+    millionth = lambda x: F.floor(x + 0.5).cast("double") / 1_000_000
+    return sums.select(by, millionth(a / n).alias(f"{metric}_mean"), millionth(F.sqrt(F.greatest(b / n - (a / n) * (a / n), F.lit(0.0)))).alias(f"{metric}_std"))
+
+
 def best_setting(summary: DataFrame, group: Sequence[str], params: Sequence[str], seeds: int) -> DataFrame:
     """The best candidate of each group: accuracy, NMI, F-measure, then parameters in order.
 

@@ -18,6 +18,18 @@ def as_samples(df: DataFrame, sample_id: str, features: str, y: str | None = Non
     return df.select(*columns, *([F.col(y).alias("y")] if y else []))
 
 
+def dataset_samples(dataset: DataFrame, catalog: DataFrame, name: str) -> DataFrame:
+    """(sample_id, features, y): the samples of one dataset of the catalogue with ``n_features`` finite entries.
+
+    Of several usable rows of one sample the one loaded last counts, then the greater values; ``y`` may be null.
+    """
+    width = catalog.where((F.col("dataset_name") == name) & F.col("n_features").isNotNull()).agg(F.max(F.struct("registered_at", "n_features")).alias("c")).select("c.n_features")
+    rows = dataset.where((F.col("dataset_name") == name) & F.col("sample_id").isNotNull() & F.col("x").isNotNull()).select("sample_id", "x", "y", "loaded_at")
+    rows = rows.crossJoin(F.broadcast(width)).where((F.size("x") == F.col("n_features")) & is_finite(F.col("x")))
+    last = F.max(F.struct(F.coalesce("loaded_at", F.timestamp_seconds(F.lit(0))).alias("w"), "x", "y")).alias("m")
+    return rows.groupBy(F.col("sample_id").cast("long").alias("sample_id")).agg(last).select("sample_id", doubles("m.x").alias("features"), F.col("m.y").alias("y"))
+
+
 def dataset_stats(samples: DataFrame) -> DataFrame:
     """One row: samples, width, classes and unusable rows, in one pass."""
     return samples.agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sphaera import session
 from sphaera.clusterers.registry import CLUSTERERS
-from sphaera.operators import harness, metrics, scaling
+from sphaera.operators import grids, harness, metrics, scaling
 from sphaera.plans.relational import Query, rounded, samples
 from sphaera.session import tables
 from sphaera.sources import files
@@ -84,10 +84,13 @@ def q_selected_features(spark, sf_dir):
     return harness.feature_count_range(runs(spark, sf_dir), ["algorithm"], "selected_p1")
 
 
-@query("q_metric_spread", f"WITH {RUNS} SELECT algorithm, round(avg(ari), 6) AS ari_mean, round(stddev_pop(ari), 6) AS ari_std FROM r WHERE status = 'success' AND isfinite(ari) GROUP BY algorithm")
+# Sums of millionths are exact, so neither the order of summation nor a tie of rounding shows.
+@query("q_metric_spread", f"""WITH {RUNS}, m AS (SELECT algorithm, CAST(round(ari * 1000000) AS BIGINT) AS v FROM r WHERE status = 'success' AND isfinite(ari)),
+s AS (SELECT algorithm, CAST(sum(v) AS DOUBLE) AS a, CAST(sum(CAST(v * v AS DECIMAL(38, 0))) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS n FROM m GROUP BY algorithm)
+SELECT algorithm, floor(a / n + 0.5) / 1000000 AS ari_mean, floor(sqrt(greatest(b / n - (a / n) * (a / n), 0)) + 0.5) / 1000000 AS ari_std FROM s""")
 def q_metric_spread(spark, sf_dir):
-    r = runs(spark, sf_dir).where("status = 'success' and ari is not null and not isnan(ari)")
-    return rounded(r.groupBy("algorithm").agg(F.avg("ari").alias("ari_mean"), F.stddev_pop("ari").alias("ari_std")), "ari_mean", "ari_std")
+    r = runs(spark, sf_dir).where("status = 'success' and ari is not null and not isnan(ari) and abs(ari) < double('inf')")
+    return harness.exact_spread(r, "algorithm", "ari")
 
 
 @query("q_error_types", f"WITH {RUNS} SELECT algorithm, error_type, count(*) AS n FROM r WHERE status = 'failed' GROUP BY algorithm, error_type")
@@ -150,17 +153,34 @@ def q_stream_scores(spark, sf_dir):
     return scoring.score_stream(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding", s.orderBy("sample_id").limit(20))
 
 
-# The clusterers over the scaled embeddings.
+# The clusterers over the catalogue's largest dataset, whose classes its catalogue counts.
+
+
+@query("q_benchmark_samples", """WITH c AS (SELECT dataset_name, n_features FROM dataset_catalog WHERE dataset_name = 'Marrowmere'),
+u AS (SELECT DISTINCT ON (d.sample_id) d.sample_id, d.x, d.y FROM dataset d JOIN c USING (dataset_name)
+WHERE d.x IS NOT NULL AND len(d.x) = c.n_features AND len(list_filter(d.x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 ORDER BY d.sample_id, d.loaded_at DESC),
+l AS (SELECT sample_id, unnest(x) AS v, unnest(generate_series(1, len(x))) AS f FROM u), r AS (SELECT f, min(v) AS lo, max(v) AS hi FROM l GROUP BY f)
+SELECT sample_id, CAST(l.f - 1 AS INTEGER) AS f, round((v - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 6) AS v FROM l JOIN r USING (f)""")
+def q_benchmark_samples(spark, sf_dir):
+    return rounded(scaling.long_form(benchmark(spark, sf_dir)[0]), "v")
+
+
+def benchmark(spark: SparkSession, sf_dir: str, name: str = "Marrowmere") -> tuple[DataFrame, int]:
+    """The scaled samples of a dataset of the catalogue and its number of classes, 2 at least."""
+    catalog = tables(spark, sf_dir, "dataset_catalog")
+    s = session.materialize(scaling.min_max(scaling.dataset_samples(tables(spark, sf_dir, "dataset"), catalog, name)), "scaled")
+    told = catalog.where(F.col("dataset_name") == name).agg(F.max("n_classes")).first()[0]
+    return s, max(2, told or s.where("y >= 0").agg(F.countDistinct("y")).first()[0] or 2)
 
 
 def _clusterer(name: str) -> None:
     @query(f"q_{name}")
     def q(spark, sf_dir):
-        s = session.materialize(scaling.min_max(samples(spark, sf_dir)).select("sample_id", "features"), "scaled")
-        return CLUSTERERS[name].run(s, 10, seed=1)
+        s, k = benchmark(spark, sf_dir)
+        return CLUSTERERS[name].run(s, k, seed=1)
 
 
-for _name in CLUSTERERS:
+for _name in list(CLUSTERERS):
     _clusterer(_name)
 
 
@@ -176,6 +196,32 @@ def q_flagship(spark, sf_dir):
     return rounded(flagship(spark, sf_dir), *metrics.NAMES)
 
 
+@query("q_default_grids")
+def q_default_grids(spark, sf_dir):
+    """(algorithm, settings, runs, pending): the default grids of all clusterers over three seeds, planned against a first run."""
+    s, _ = benchmark(spark, sf_dir)
+    shape = scaling.validate(s)
+    plan = None
+    for name in sorted(CLUSTERERS):
+        settings = grids.default_grid(name, shape["n_samples"], shape["max_width"])
+        one = harness.plan_runs(spark, name, "Marrowmere", settings, grids.SEEDS)
+        plan = one if plan is None else plan.unionByName(one)
+    plan = session.materialize(plan, "grids")
+    left = harness.pending(plan, plan.where("seed = 1"))
+    return plan.groupBy("algorithm").agg(F.countDistinct("params").alias("settings"), F.count("*").alias("runs")).join(left.groupBy("algorithm").agg(F.count("*").alias("pending")), "algorithm")
+
+
+@query("q_whole_grid")
+def q_whole_grid(spark, sf_dir):
+    """A whole default grid of fixed increments over three seeds, run, summarised and reduced to its best setting."""
+    s, k = benchmark(spark, sf_dir)
+    shape = scaling.validate(s)
+    plan = harness.plan_runs(spark, "fi_gbhc", "Marrowmere", grids.default_grid("fi_gbhc", shape["n_samples"], shape["max_width"]), grids.SEEDS)
+    done = harness.run_grid(s.withColumn("y", F.coalesce("y", F.lit(-1))), k, plan, session.scratch_path(spark, "runs"), labels_path=session.scratch_path(spark, "labels"))
+    best = harness.best_setting(harness.summarise(done, ["algorithm", "dataset", "params"]), ["algorithm", "dataset"], ["params"], len(grids.SEEDS))
+    return rounded(best.select("algorithm", "dataset", "params", "success_runs", "acc_mean", "nmi_mean", "f_measure_mean"), "acc_mean", "nmi_mean", "f_measure_mean")
+
+
 @query("q_small_grid")
 def q_small_grid(spark, sf_dir):
     s = session.materialize(scaling.min_max(samples(spark, sf_dir)), "scaled")
