@@ -12,7 +12,7 @@ size is bounded by ``BLOCK_CHARS``, and join with the table in Arrow batches; ne
 are shuffled. A passage that shares a seed is compared if the words of the document, in any order, could make up
 enough of it. All diagonals on which it has three running words then count, not only those of seeds, and the
 overlap is verified by dynamic programming over length, diagonal and passage position, which may change diagonals
-where the page puts something between the words, at no cost and however long within a window, or words are missing.
+where the page puts something between the words, up to ``PAGE`` words at no cost, or words are missing.
 
 Defined results for odd input: null and blank texts and passages match nothing; an item with fewer than
 ``LEAST_WORDS`` words matches nothing; null ids are skipped; repeated rows count once; texts of any length are
@@ -35,6 +35,8 @@ LEAST_WORDS = 30
 ONE_IN = 8
 #: A run with what stands between its words lies within one of the windows of twice this many words, each half over the next.
 SPAN = 512
+#: What stands between the words of a run is no more than a page has words; pieces further apart are two quotations.
+PAGE = 256
 #: How far from the beginning of three running words of its diagonal an equal word counts.
 NEAR = 12
 BLOCK_CHARS = 16_000_000
@@ -118,6 +120,21 @@ class Words:
         self.ids = ids
         self.kept = np.nonzero(~bare)[0]
         self.plain = ids[self.kept]
+        self.ends = np.full(len(self.plain), len(ids))
+
+
+def one_behind_the_other(docs: list[Words], apart: int) -> tuple[Words, np.ndarray]:
+    """Several sequences as one, ``apart`` unknown words between them, and where each begins among the plain words."""
+    out = Words(np.empty(0, np.int32), np.empty(0, bool))
+    raw = np.cumsum([0, *(len(d.ids) + 1 for d in docs)])
+    unknown = np.full(apart, -1, np.int32)
+    out.ids = np.concatenate([part for d in docs for part in (d.ids, unknown[:1])])
+    out.plain = np.concatenate([part for d in docs for part in (d.plain, unknown)])
+    gap = np.zeros(apart, np.int64)
+    out.kept = np.concatenate([part for d, r in zip(docs, raw) for part in (d.kept + r, gap + (r + len(d.ids)))])
+    out.ends = np.concatenate([np.full(len(d.plain) + apart, r + len(d.ids)) for d, r in zip(docs, raw)])
+    size = np.array([len(d.plain) + apart for d in docs])
+    return out, np.cumsum(size) - size
 
 
 class PassageIndex:
@@ -135,6 +152,7 @@ class PassageIndex:
                 if w[0].isalnum():
                     self.vocabulary.setdefault(w, len(self.vocabulary))
         self.items = np.array([i for i, _ in texts], np.int64)
+        self.widest = max((len(w) for _, w in texts), default=0)
         self.lengths = np.array([len(w) for _, w in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
         self.words = np.array([self.vocabulary.get(w, -2) for _, ws in texts for w in ws], np.int32)
@@ -210,26 +228,39 @@ class PassageIndex:
             return out
         get = self.vocabulary.get
         docs = [Words(np.array([get(w, -1) for w in ws], np.int32), np.fromiter(map(str.isdigit, ws), bool, len(ws))) for _, ws in words]
-        apart = np.full(max(map(len, MASKS)), -1, np.int32)
-        plain = np.concatenate([part for d in docs for part in (d.plain, apart)])
-        size = np.array([len(d.plain) + len(apart) for d in docs])
-        begin = np.cumsum(size) - size
-        found = self._hits(plain, np.repeat(np.arange(len(docs)), size), len(docs))
-        keys, place = _seed_hashes(plain, "111")
-        cut = np.searchsorted(place, np.append(begin, len(plain)))
+        together, begin = one_behind_the_other(docs, self.widest + 1)
+        found = self._hits(together.plain, np.repeat(np.arange(len(docs)), np.diff(np.append(begin, len(together.plain)))), len(docs))
+        keys, place = _seed_hashes(together.plain, "111")
+        cut = np.searchsorted(place, np.append(begin, len(together.plain)))
+        short: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k in np.nonzero(found.any(1))[0]:
             mine = slice(cut[k], cut[k + 1])
-            out[words[k][0]] = self._searched(docs[k], np.nonzero(found[k])[0], keys[mine], place[mine] - begin[k])
-        return out
-
-    def _searched(self, doc: Words, who: np.ndarray, keys: np.ndarray, at: np.ndarray) -> list[int]:
-        """The items of the passages ``who`` of which the document carries enough; ``keys`` hash its three running words, which begin ``at``."""
+            passage, at = self._shared(docs[k], np.nonzero(found[k])[0], keys[mine], place[mine] - begin[k])
+            last = len(docs[k].plain) - SPAN
+            if last <= SPAN:
+                short.append((passage, at + begin[k], np.full(len(at), k)))
+                continue
+            hits: set[int] = set()
+            for start in range(0, last, SPAN):
+                inside = (at >= start) & (at < start + 2 * SPAN)
+                hits.update(item for _, item in self._carried(docs[k], passage[inside], at[inside], np.zeros(int(inside.sum()), np.int64)))
+            out[words[k][0]] = sorted(hits)
+        if short:
+            for k, item in self._carried(together, *(np.concatenate(c) for c in zip(*short))):
+                out[words[k][0]].append(item)
+        return [sorted(set(o)) for o in out]
+
+    def _shared(self, doc: Words, who: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where three running words of the passages ``who`` that may be carried (places among all passages) are in the document.
+
+        ``keys`` hash the three running words of the document, which begin ``at``.
+        """
         held = np.zeros(len(self.vocabulary) + 2, np.int8)
         held[doc.ids] = 1
         held[-2:] = 0
         who = self._rich(who, held)
         if not len(who) or not len(keys):
-            return []
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         order = np.argsort(keys, kind="stable")
         keys, at = keys[order], at[order]
         flat = _ranges(self.starts[who], self.lengths[who])
@@ -238,25 +269,22 @@ class PassageIndex:
         same = keys[np.minimum(lo, len(keys) - 1)] == self.triple[flat]
         flat, lo = flat[same], lo[same]
         n = np.searchsorted(keys, self.triple[flat], side="right") - lo
-        place, q = np.repeat(flat, n), at[_ranges(lo, n)]
-        out: set[int] = set()
-        last = max(1, len(doc.plain) - SPAN)
-        for start in range(0, last, SPAN):
-            inside = (q >= start) & (q < start + 2 * SPAN) if last > SPAN else slice(None)
-            if len(q[inside]):
-                out.update(self._carried(doc, place[inside], q[inside]))
-        return sorted(out)
-
-    def _carried(self, doc: Words, place: np.ndarray, q: np.ndarray) -> list[int]:
-        """The items of which enough lies on the diagonals of the places where three running words are equal.
-
-        ``place`` is among the words of all passages, ``q`` among those of the document that are no bare numbers. Diagonals are
-        counted without bare numbers, so numbers between words shift nothing. The rows of ``equal`` are the diagonals,
-        one behind the other and apart.
+        return np.repeat(flat, n), at[_ranges(lo, n)]
+
+    def _carried(self, doc: Words, place: np.ndarray, q: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) where enough lies on the diagonals of the places where three running words are equal.
+
+        ``place`` is among the words of all passages, ``q`` among those of the document that are no bare numbers; ``which`` tells the
+        documents that lie one behind the other in ``doc``. Diagonals are counted without bare numbers, so numbers between
+        words shift nothing. The rows of ``equal`` are the diagonals, one behind the other and apart.
         """
+        if not len(place):
+            return []
+        count = len(self.items)
         whose = self.owner[place]
-        rows, row = np.unique((whose << 40) + (q - self.rank[place] + (1 << 39)), return_inverse=True)
-        owner, diagonal = rows >> 40, (rows & ((1 << 40) - 1)) - (1 << 39)
+        rows, row = np.unique(((which * count + whose) << 32) + (q - self.rank[place] + (1 << 31)), return_inverse=True)
+        pair, diagonal = rows >> 32, (rows & ((1 << 32) - 1)) - (1 << 31)
+        owner = pair % count
         size = self.lengths[owner]
         begin = np.cumsum(size + NEAR + 1) - size - NEAR - 1
         core = np.zeros(int(begin[-1] + size[-1]) + NEAR + 1, bool)
@@ -271,28 +299,29 @@ class PassageIndex:
         fits = (at >= 0) & (at < len(doc.plain)) & (self.behind[word] >= 0) & (self.words[word] >= 0)
         index, word, at = index[fits], word[fits], at[fits]
         raw = doc.kept[at] + self.behind[word]
-        same = (raw < len(doc.ids)) & (doc.ids[np.minimum(raw, len(doc.ids) - 1)] == self.words[word])
-        index, word = index[same], word[same]
+        same = (raw < doc.ends[at]) & (doc.ids[np.minimum(raw, len(doc.ids) - 1)] == self.words[word])
+        index, word, line = index[same], word[same], line[fits][same]
         equal = np.zeros(len(core), bool)
         equal[index] = True
         apart = begin[1:] - 1
         on_one = np.add.reduceat(may_run(equal, apart), begin) > 0
-        found = set(owner[on_one].tolist())
-        several = np.nonzero(np.diff(owner) == 0)[0]
-        some = np.setdiff1d(owner[several], owner[on_one])
+        found = set(pair[on_one].tolist())
+        several = np.nonzero(np.diff(pair) == 0)[0]
+        some = np.setdiff1d(pair[several], pair[on_one])
         if len(some):
-            length = self.lengths[some] + 1
+            length = self.lengths[some % count] + 1
             first = np.cumsum(length) - length
-            which = np.searchsorted(some, self.owner[word])
-            mine = some[np.minimum(which, len(some) - 1)] == self.owner[word]
+            of = pair[line]
+            slot = np.minimum(np.searchsorted(some, of), len(some) - 1)
+            mine = some[slot] == of
             union = np.zeros(int(length.sum()), bool)
-            union[first[which[mine]] + word[mine] - self.starts[self.owner[word[mine]]]] = True
+            union[first[slot[mine]] + word[mine] - self.starts[of[mine] % count]] = True
             can = np.add.reduceat(may_run(union, first[1:] - 1), first) > 0
-            for item in some[can].tolist():
-                lines = np.nonzero(owner == item)[0]
+            for p in some[can].tolist():
+                lines = np.nonzero(pair == p)[0]
                 if chained(np.stack([equal[begin[r] : begin[r] + size[r]] for r in lines]), diagonal[lines]):
-                    found.add(item)
-        return [int(self.items[i]) for i in found]
+                    found.add(p)
+        return [(p // count, int(self.items[p % count])) for p in found]
 
 
 def around(marked: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -305,13 +334,21 @@ def around(marked: np.ndarray, before: int, after: int) -> np.ndarray:
 def chained(equal: np.ndarray, diagonal: np.ndarray) -> bool:
     """Whether a run of ``LEAST_WORDS`` passage words has at most one in ``ONE_IN`` that differs.
 
-    ``equal`` tells for each diagonal which passage words it has. A run may move to any later diagonal of the window,
-    where something stands between the words, or to an earlier one over as many passage words that are missing. A
+    ``equal`` tells for each diagonal which passage words it has. A run may move to a later diagonal, where something stands
+    between the words, at most ``PAGE`` words in all, or to an earlier one over as many passage words that are missing. A
     word that is there scores 1, another costs ``ONE_IN`` - 1; a run is carried if it is long enough, its score is
     not negative, and its first and last words are there, so a shorter quotation does not grow by words around it.
 
-    The state is the best score of each length, up to ``LEAST_WORDS``, on each diagonal.
+    Each window of diagonals as wide as a page is searched; the state is the best score of each length, up to
+    ``LEAST_WORDS``, on each of its diagonals.
     """
+    ends = np.searchsorted(diagonal, diagonal + PAGE, side="right")
+    windows = [(k, e) for k, e in enumerate(ends) if k == 0 or e > ends[k - 1]]
+    return any(may_run(equal[k:e].any(0)).any() and _chain(equal[k:e], diagonal[k:e]) for k, e in windows)
+
+
+def _chain(equal: np.ndarray, diagonal: np.ndarray) -> bool:
+    """Whether a window of diagonals holds a run."""
     gain = np.where(equal, 1, 1 - ONE_IN).astype(np.int32)
     none = -(1 << 28)
     back = []

@@ -23,8 +23,8 @@ def planted(rng, carried: int, exchanged: int, numbers: int, matter: int, at: in
         quote.insert(i, str(rng.integers(1, 999)))
     if matter:
         i = at or int(rng.integers(6, len(quote) - 6))
-        quote[i:i] = [str(w) for w in rng.choice(WORDS, matter)]
-    around = [[str(w) for w in rng.choice(WORDS, 150)] for _ in range(2)]
+        quote[i:i] = [f"{w}x" for w in rng.choice(WORDS, matter)]
+    around = [[f"{w}x" for w in rng.choice(WORDS, 150)] for _ in range(2)]
     return " ".join(passage), " ".join([*around[0], "vorher", *quote, "nachher", *around[1]])
 
 
@@ -36,8 +36,8 @@ def test_numbers_between_words_lose_nothing(case):
         assert contamination.PassageIndex([(1, passage)]).leaked(text) == [1]
 
 
-@pytest.mark.parametrize("matter", [21, 25, 40, 100, 300])
-def test_page_matter_of_any_length_loses_nothing(matter):
+@pytest.mark.parametrize("matter", [21, 25, 40, 100, 250])
+def test_page_matter_up_to_a_page_loses_nothing(matter):
     rng = np.random.default_rng(matter)
     for _ in range(30):
         passage, text = planted(rng, 34, 0, 1, matter)
@@ -46,6 +46,13 @@ def test_page_matter_of_any_length_loses_nothing(matter):
         assert contamination.PassageIndex([(1, passage)]).leaked(text) == []
 
 
+def test_pieces_more_than_a_page_apart_are_two_quotations():
+    rng = np.random.default_rng(10)
+    for _ in range(20):
+        passage, text = planted(rng, 34, 0, 0, 400, at=17)
+        assert contamination.PassageIndex([(1, passage)]).leaked(text) == []
+
+
 def test_most_quotations_with_exchanged_words_and_matter_are_found():
     rng = np.random.default_rng(9)
     found = sum(contamination.PassageIndex([(1, p)]).leaked(t) == [1] for p, t in (planted(rng, 32, 3, 2, 60) for _ in range(100)))
