@@ -67,6 +67,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     p.add_argument("--settings", type=int, help="run no more settings of each grid than this")
     p.add_argument("--summaries", action="store_true", help="summarise only")
     a = p.parse_args(arguments)
+    own = spark is None
     spark = spark or session.build_session()
     session.ship_package(spark)
     known = sorted(r.dataset_name for r in session.tables(spark, a.data, "dataset_catalog").select("dataset_name").where("dataset_name is not null").distinct().collect())
@@ -80,6 +81,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         run(spark, a.data, out, datasets, algorithms, seeds, a.settings)
     _, best = summaries(spark, out, len(seeds))
     best.select("dataset", "algorithm", "params", F.round("acc_mean", 4).alias("acc"), F.round("nmi_mean", 4).alias("nmi")).orderBy("dataset", "algorithm").show(100, False)
+    if own:
+        session.drop_scratch(spark)
     return 0
 
 

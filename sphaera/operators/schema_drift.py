@@ -283,3 +283,42 @@ def consistent_table(run_files: DataFrame, run_lines: DataFrame) -> DataFrame:
             F.col("key_line_no").alias("line_no"),
         )
     )
+
+
+MOST_FIELDS = 2_000
+_TYPED = {"integer": "bigint", "decimal": "double", "text": "string"}
+
+
+def column_names(fields: list[str], taken: tuple[str, ...]) -> dict[str, str]:
+    """A column name for each field: its own, numbered where letter case alone tells fields apart or a key has the name."""
+    out: dict[str, str] = {}
+    used = {t.lower() for t in taken}
+    for f in sorted(fields):
+        name, n = f, 1
+        while name.lower() in used:
+            n += 1
+            name = f"{f}_{n}"
+        used.add(name.lower())
+        out[f] = name
+    return out
+
+
+def wide_table(run_files: DataFrame, run_lines: DataFrame) -> DataFrame:
+    """All runs in one table, one row a run and one column a field, in the field's fused type.
+
+    A field whose values over all experiments are all whole numbers is a bigint, else a double if all are numbers, else text, as
+    whole numbers beyond 18 digits are too. The field names are told to the driver, which refuses more than ``MOST_FIELDS``.
+    Keys: experiment, and prediction_path or, for lines without one, file_id and line_no. Runs without any value are no rows.
+    """
+    cells = session.materialize(consistent_table(run_files, run_lines), "runs")
+    unions = cells.groupBy("field").agg(
+        F.count("*").alias("n"), F.count_if(F.col("as_integer").isNotNull()).alias("n_integer"), F.count_if(F.col("as_decimal").isNotNull()).alias("n_number")
+    )
+    kinds = {r.field: r.kind for r in unions.select("field", _kind().alias("kind")).limit(MOST_FIELDS + 1).collect()}
+    if len(kinds) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields")
+    keys = ["experiment", "prediction_path", "file_id", "line_no"]
+    names = column_names([f for f in kinds if f != RUN_KEY], tuple(keys))
+    rows = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("of"))
+    typed = [F.col("of").getItem(f).try_cast(_TYPED[kinds[f]]).alias(n) for f, n in names.items()]
+    return rows.select(*keys, *typed)

@@ -18,6 +18,11 @@ def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.consistent_table(tables(spark, sf_dir, "run_files"), tables(spark, sf_dir, "run_lines"))
 
 
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent table with one column a field."""
+    return schema_drift.wide_table(tables(spark, sf_dir, "run_files"), tables(spark, sf_dir, "run_lines"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = compaction.compact(tables(spark, sf_dir, "prediction_files"), tables(spark, sf_dir, "all_runs"))
     return done.select("file_id", "sample_no")
@@ -29,7 +34,7 @@ def p3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("path").agg(F.count("*").alias("n_records"), F.countDistinct("file_id").alias("n_sources"), F.sum("label").alias("label_sum"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p3_found": p3_found, "p3_predictions": p3_predictions}
+QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p2_table": p2_table, "p3_found": p3_found, "p3_predictions": p3_predictions}
 
 _NORMAL = """
 normal AS (

@@ -295,3 +295,38 @@ def test_broken_off_compaction_is_taken_up_again(spark):
     delete_path(spark, f"{root}/journal/tx={last}")
     delete_path(spark, f"{root}/data/tx={last}")
     assert make() == want
+
+
+def test_wide_table_has_one_column_a_field_in_its_fused_type(spark):
+    a = ["alg,p1,acc,P1,file_id,prediction_path", "x,3,0.5,u,7,r1", "y,4,1,v,8,r2", "z,,,,,"]
+    b = ["algo,p1,acc,P1,file_id,prediction_path,extra", "x,3.5,0.5,u,7,r1,99999999999999999999", "y,4,1,v,8,r2,", "w,6,2,t,9,r3,5"]
+    wide = schema_drift.wide_table(*logs(spark, [a, b]))
+    kinds = dict(wide.dtypes)
+    assert kinds["alg"] == "string" and kinds["acc"] == "double" and "algo" not in kinds
+    assert sorted(c for c in wide.columns if c.lower().startswith("p1")) == ["P1", "p1_2"] and kinds["p1_2"] == "double" and kinds["file_id_2"] == "bigint"
+    assert kinds["extra"] in ("string", "double")
+    rows = {r["prediction_path"]: r for r in wide.collect()}
+    assert set(rows) == {"r1", "r2", "r3", None} and rows[None]["alg"] == "z" and rows[None]["line_no"] == 3
+    assert rows["r1"]["p1_2"] == 3.5 and rows["r3"]["file_id_2"] == 9 and rows["r2"]["acc"] == 1.0
+    assert schema_drift.wide_table(*(df.limit(0) for df in logs(spark, [a]))).isEmpty()
+
+
+def test_runs_are_those_of_a_plain_reading(spark, small):
+    import pandas as pd
+
+    from sphaera.plans.data_queries import p2_runs
+    from tests.test_drift_brute_force import read
+
+    files_ = pd.read_parquet(f"{small}/run_files.parquet").drop_duplicates("file_id")
+    lines = pd.read_parquet(f"{small}/run_lines.parquet").drop_duplicates(["file_id", "line_no"]).sort_values(["file_id", "line_no"]).groupby("file_id").line.apply(list)
+    want: dict[tuple, int] = {}
+    for row in files_.itertuples():
+        _, runs_, _ = read(lines[row.file_id])
+        for key, values in runs_.items():
+            if values:
+                want[(row.experiment, key if isinstance(key, str) else (row.file_id, key))] = 1
+    got = p2_runs(spark, small)
+    keyed = {(r.experiment, r.prediction_path if r.prediction_path is not None else r.file_id) for r in got.select("experiment", "prediction_path", "file_id").distinct().collect()}
+    assert {(e, k if isinstance(k, str) else k[0]) for e, k in want} == keyed
+    n = got.select("experiment", "prediction_path", "file_id", "line_no").distinct().count()
+    assert n == len(want)

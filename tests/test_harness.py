@@ -60,3 +60,28 @@ def test_default_grids_have_known_parameters_and_sizes():
     for name, c in CLUSTERERS.items():
         assert set(default_grid(name, 50, 4)[0]) <= set(c.parameters())
     assert all(s["p2"] < 5932 for s in default_grid("plgb_fsc", 174, 7909))
+
+
+def test_command_line_runs_resumes_and_summarises(spark, small, tmp_path):
+    import json
+
+    import pytest
+
+    from sphaera.__main__ import chosen, main
+
+    out = str(tmp_path / "out")
+    call = ["--data", small, "--out", out, "--datasets", "Marrowmere", "--algorithms", "gbsc,fi_gbhc", "--seeds", "1,2", "--settings", "1"]
+    assert main(call, spark) == 0
+    done = spark.read.parquet(f"{out}/runs")
+    assert done.count() == 4 and done.where("status = 'success'").count() == 4
+    labels = spark.read.parquet(f"{out}/labels")
+    assert labels.select("algorithm", "seed").distinct().count() == 4
+    assert json.load(open(f"{out}/config.json"))["algorithms"] == ["gbsc", "fi_gbhc"]
+    best = spark.read.option("header", True).csv(f"{out}/best")
+    assert sorted(r.algorithm for r in best.collect()) == ["fi_gbhc", "gbsc"]
+    assert main([*call, "--summaries"], spark) == 0 and main(call, spark) == 0
+    assert spark.read.parquet(f"{out}/runs").count() == 4
+    with pytest.raises(ValueError):
+        chosen("gbsc,nope", ["gbsc"], "algorithms")
+    with pytest.raises(ValueError):
+        chosen("gbsc,gbsc", ["gbsc"], "algorithms")
