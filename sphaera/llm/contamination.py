@@ -155,7 +155,7 @@ class PassageIndex:
         self.widest = max((len(w) for _, w in texts), default=0)
         self.lengths = np.array([len(w) for _, w in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
-        self.words = np.array([self.vocabulary.get(w, -2) for _, ws in texts for w in ws], np.int32)
+        self.words = np.array([self.vocabulary.get(w, -2) for _, ws in texts for w in ws], np.int64)
         self.bare = np.array([w.isdigit() for _, ws in texts for w in ws], bool)
         self.owner = np.repeat(np.arange(len(texts)), self.lengths)
         kept = np.nonzero(~self.bare)[0]
@@ -199,10 +199,9 @@ class PassageIndex:
 
     def _rich(self, who: np.ndarray, held: np.ndarray) -> np.ndarray:
         """Those of the passages of which enough could be made up from the words that are held, in any order."""
-        # A run with one in eight missing has LEAST_WORDS consecutive words of which at most six are. Sums may wrap around.
+        # A run with one in eight missing has LEAST_WORDS consecutive words of which at most six are.
         if 3 * int(self.lengths[who].sum()) > len(self.words):
-            total = np.cumsum(held[self.words], dtype=np.int8)
-            dense = np.nonzero(total[LEAST_WORDS - 1 :] - np.append(np.int8(0), total[:-LEAST_WORDS]) >= LEAST_WORDS - 6)[0]
+            dense = np.flatnonzero(_sums(np.take(held, self.words), LEAST_WORDS) >= LEAST_WORDS - 6)
             some = np.zeros(len(self.items), bool)
             some[self.owner[dense]] = True
             who = who[some[who]]
@@ -324,6 +323,18 @@ class PassageIndex:
         return [(p // count, int(self.items[p % count])) for p in found]
 
 
+def _sums(values: np.ndarray, width: int) -> np.ndarray:
+    """Sums of all windows of ``width`` small values, from windows of doubled width."""
+    n = len(values) - width + 1
+    total, at, one, size = np.zeros(max(0, n), values.dtype), 0, values, 1
+    while size <= width and n > 0:
+        if width & size:
+            total += one[at : at + n]
+            at += size
+        one, size = one[: len(one) - size] + one[size:], size * 2
+    return total
+
+
 def around(marked: np.ndarray, before: int, after: int) -> np.ndarray:
     """Which places of each row have a marked one at most ``before`` places ahead or ``after`` places back."""
     wide = [(0, 0)] * (marked.ndim - 1) + [(after + 1, before)]
