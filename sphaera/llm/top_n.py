@@ -43,20 +43,11 @@ def _last(value: Column, descending: bool) -> list[Column]:
     return [missing.cast("int"), number.desc_nulls_last() if descending else number.asc_nulls_last()]
 
 
-def _opened(path: str):
-    import pyarrow.fs as fs
-    import pyarrow.parquet as pq
-
-    scheme, _, rest = path.partition("://")
-    system, inner = fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
-    return pq.ParquetFile(inner, filesystem=system)
-
-
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row group of the given files: its bucket, least depth, and its groups with their greatest score."""
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            file = _opened(path)
+            file = session.open_parquet(path)
             for part in range(file.metadata.num_row_groups):
                 t = file.read_row_group(part, columns=["b", "depth", "g", "s0"])
                 best = t.group_by(["b", "g"]).aggregate([("s0", "max"), ("depth", "min")])
@@ -72,7 +63,7 @@ def _reader(columns: list[str]):
             for path, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 wanted.setdefault(path, []).append(part)
             for path, parts in wanted.items():
-                file = _opened(path)
+                file = session.open_parquet(path)
                 for part in sorted(parts):
                     yield from file.read_row_group(part, columns=columns).to_batches()
 
