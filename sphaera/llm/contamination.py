@@ -37,6 +37,8 @@ ONE_IN = 8
 SPAN = 512
 #: What stands between the words of a run is no more than a page has words; pieces further apart are two quotations.
 PAGE = 256
+#: So many words between two pieces are free, as many more cost as much as one word that is there.
+FREE = 32
 #: How far from the beginning of three running words of its diagonal an equal word counts.
 NEAR = 12
 BLOCK_CHARS = 16_000_000
@@ -346,7 +348,7 @@ def chained(equal: np.ndarray, diagonal: np.ndarray) -> bool:
     """Whether a run of ``LEAST_WORDS`` passage words has at most one in ``ONE_IN`` that differs.
 
     ``equal`` tells for each diagonal which passage words it has. A run may move to a later diagonal, where something stands
-    between the words, at most ``PAGE`` words in all, or to an earlier one over as many passage words that are missing. A
+    between the words, at most ``PAGE`` words in all at a cost beyond ``FREE`` words each, or to an earlier one over as many passage words that are missing. A
     word that is there scores 1, another costs ``ONE_IN`` - 1; a run is carried if it is long enough, its score is
     not negative, and its first and last words are there, so a shorter quotation does not grow by words around it.
 
@@ -360,8 +362,10 @@ def chained(equal: np.ndarray, diagonal: np.ndarray) -> bool:
 
 def _chain(equal: np.ndarray, diagonal: np.ndarray) -> bool:
     """Whether a window of diagonals holds a run."""
-    gain = np.where(equal, 1, 1 - ONE_IN).astype(np.int32)
+    gain = np.where(equal, FREE, FREE * (1 - ONE_IN)).astype(np.int32)
     none = -(1 << 28)
+    step = diagonal[None, :] - diagonal[:, None]
+    cost = np.where(step < 0, -none, np.maximum(step - FREE, 0)).astype(np.int32)
     back = []
     for x in range(1, ONE_IN):
         to = np.searchsorted(diagonal, diagonal - x)
@@ -371,10 +375,10 @@ def _chain(equal: np.ndarray, diagonal: np.ndarray) -> bool:
     states: list[np.ndarray] = []
     best = np.full((LEAST_WORDS, len(diagonal)), none, np.int32)
     for p in range(equal.shape[1]):
-        moved = np.maximum.accumulate(best, axis=1)
+        moved = np.maximum((best[:, :, None] - cost[None]).max(1), none)
         for x, source, to in back:
             if len(states) > x:
-                old = states[-1 - x][:, source] - x * (ONE_IN - 1)
+                old = states[-1 - x][:, source] - x * (ONE_IN - 1) * FREE
                 late = np.full_like(old, none)
                 late[x:] = old[: LEAST_WORDS - x]
                 late[-1] = np.maximum(late[-1], old[LEAST_WORDS - 1 - x :].max(0))
@@ -382,7 +386,7 @@ def _chain(equal: np.ndarray, diagonal: np.ndarray) -> bool:
         after = np.empty_like(best)
         after[1:] = moved[:-1] + gain[:, p]
         after[-1] = np.maximum(after[-1], moved[-1] + gain[:, p])
-        after[0] = np.where(equal[:, p], 1, none)
+        after[0] = np.where(equal[:, p], FREE, none)
         best = np.maximum(after, none)
         if (best[-1, equal[:, p]] >= 0).any():
             return True
