@@ -85,3 +85,22 @@ def test_command_line_runs_resumes_and_summarises(spark, small, tmp_path):
         chosen("gbsc,nope", ["gbsc"], "algorithms")
     with pytest.raises(ValueError):
         chosen("gbsc,gbsc", ["gbsc"], "algorithms")
+
+
+def test_parameters_out_of_range_are_refused():
+    import pytest
+
+    from sphaera.clusterers.registry import CLUSTERERS, check_parameters
+    from sphaera.operators.grids import default_grid
+
+    for name in CLUSTERERS:
+        check_parameters(name, CLUSTERERS[name].parameters())
+        for n, d in ((40, 3), (1000, 1000)):
+            for setting in default_grid(name, n, d):
+                check_parameters(name, setting)
+    for name, bad in [("gbsc", {"sigma": 0.0}), ("gb_pojg_gbdpc", {"delta": 1.5}), ("gb_pojg_gbdpc", {"gamma": -1}), ("gb_dbscan", {"ratio": 1.2}), ("agc_ild", {"anchors": 33}), ("m3w", {"levels": 0}), ("my_v0", {"theta": float("nan")}), ("my_v3", {"p1": 4, "p2": 5})]:
+        with pytest.raises(ValueError):
+            check_parameters(name, bad)
+    for name, bad in [("m3w", {"levels": 2.5}), ("gbsc", {"sigma": "1"}), ("my_v0", {"p1": True})]:
+        with pytest.raises(TypeError):
+            check_parameters(name, bad)
