@@ -66,14 +66,18 @@ def farthest_two(members: DataFrame) -> DataFrame:
     return first.join(second, "ball")
 
 
-def _coarse(samples: DataFrame, local: int) -> DataFrame:
+def _coarse(samples: DataFrame, local: int) -> tuple[DataFrame, DataFrame | None]:
+    """(members, equal): balls of at most ``local`` rows, and the names of larger ones whose rows are all equal."""
     members = samples.select("sample_id", "features", F.lit("").alias("ball"))
     while True:
         big = members.groupBy("ball").agg(F.count("*").alias("n")).where(F.col("n") > local)
-        ends = session.materialize(farthest_two(members.join(big, "ball", "left_semi")).where("p.features <> q.features"), "ends")
+        ends = session.materialize(farthest_two(members.join(big, "ball", "left_semi")), "ends")
         if ends.isEmpty():
-            return members
-        moved = members.join(ends, "ball", "left")
+            return members, None
+        apart = ends.where("p.features <> q.features")
+        if apart.isEmpty():
+            return members, ends.select("ball")
+        moved = members.join(apart, "ball", "left")
         side = F.when(distance(F.col("features"), F.col("p.features")) <= distance(F.col("features"), F.col("q.features")), "0").otherwise("1")
         members = session.materialize(moved.select("sample_id", "features", F.when(F.col("p").isNotNull(), F.concat("ball", side)).otherwise(F.col("ball")).alias("ball")), "members")
 
@@ -85,11 +89,15 @@ def generate(samples: DataFrame, kernel: Kernel, local: int = LOCAL) -> DataFram
     """(sample_id, features, ball): balls by ``kernel``, which maps the rows of one ball to ball numbers."""
 
     rows = samples.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("features").cast("array<double>").alias("features"))
-    return refine(_coarse(rows, local), kernel)
+    members, equal = _coarse(rows, local)
+    return refine(members, kernel, equal)
 
 
-def refine(members: DataFrame, kernel: Kernel) -> DataFrame:
-    """The balls that ``kernel`` makes of each ball; they fit in a task, as ``generate`` leaves them."""
+def refine(members: DataFrame, kernel: Kernel, equal: DataFrame | None = None) -> DataFrame:
+    """The balls that ``kernel`` makes of each ball; they fit in a task, as ``generate`` leaves them.
+
+    The balls named in ``equal`` hold equal rows only, however many, which no kernel parts: they stay as they are and are no task.
+    """
 
     def finish(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("sample_id")
@@ -97,7 +105,11 @@ def refine(members: DataFrame, kernel: Kernel) -> DataFrame:
         names = [f"{key[0].as_py()}/{int(b):06d}" for b in kernel(x)]
         return table.set_column(table.schema.get_field_index("ball"), "ball", pa.array(names))
 
-    done = members.groupBy("ball").applyInArrow(finish, "sample_id long, features array<double>, ball string")
+    parted = members if equal is None else members.join(equal, "ball", "left_anti")
+    done = parted.groupBy("ball").applyInArrow(finish, "sample_id long, features array<double>, ball string")
+    if equal is not None:
+        whole = members.join(equal, "ball", "left_semi")
+        done = done.unionByName(whole.select("sample_id", "features", F.concat("ball", F.lit("/000000")).alias("ball")))
     return session.materialize(done, "balls")
 
 

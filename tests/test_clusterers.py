@@ -179,3 +179,15 @@ def test_ball_scores_equal_the_table_scores(spark):
 
 def test_shape_entropy_at_zero():
     assert float(np.interp(0.0, *features.shape_entropy())) == pytest.approx(0.3702632681, abs=1e-6)
+
+
+def test_many_equal_rows_are_one_ball_and_no_task(spark):
+    x = np.concatenate([np.tile([[3.0, 3.0]], (60, 1)), np.random.default_rng(7).normal(size=(50, 2))])
+
+    def kernel(part):
+        assert len(part) <= 16  # equal rows beyond the bound never reach a kernel
+        return np.zeros(len(part), int)
+
+    seen = balls.generate(frame(spark, x), kernel, local=16).toPandas()
+    assert len(seen) == 110 and seen[seen.sample_id < 60].ball.nunique() == 1
+    assert seen.groupby("ball").size().drop(seen.ball[seen.sample_id == 0].iloc[0]).max() <= 16

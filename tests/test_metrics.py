@@ -59,3 +59,25 @@ def test_expected_information_by_enumeration():
         total += sum(m[i, j] / 5 * math.log(5 * m[i, j] / (a[i] * b[j])) for i in range(2) for j in range(2) if m[i, j])
         count += 1
     assert metrics.expected_information(np.array(a), np.array(b)) == pytest.approx(total / count)
+
+
+def test_expected_information_needs_no_table_of_all_samples():
+    import math
+
+    import numpy as np
+
+    from sphaera.operators import metrics
+
+    for k in (0, 1, 10, 4000, 4095, 4096, 10**6, 10**9):
+        assert abs(float(metrics.log_factorial(k)) - math.lgamma(k + 1)) <= 1e-9 * max(1.0, math.lgamma(k + 1))
+    a, b = np.array([30, 50, 20]), np.array([60, 40])
+    lg = lambda v: math.lgamma(v + 1)
+    want = 0.0
+    for x in a.tolist():
+        for y in b.tolist():
+            for k in range(max(1, x + y - 100), min(x, y) + 1):
+                p = math.exp(lg(x) + lg(y) + lg(100 - x) + lg(100 - y) - lg(100) - lg(k) - lg(x - k) - lg(y - k) - lg(100 - x - y + k))
+                want += k / 100 * math.log(100 * k / (x * y)) * p
+    assert abs(metrics.expected_information(a, b) - want) < 1e-12
+    big = metrics.expected_information(np.array([4 * 10**8, 6 * 10**8]), np.array([5 * 10**8, 5 * 10**8]))
+    assert 0 < big < 1e-8
