@@ -290,38 +290,43 @@ class PassageIndex:
         begin = np.cumsum(size + NEAR + 1) - size - NEAR - 1
         core = np.zeros(int(begin[-1] + size[-1]) + NEAR + 1, bool)
         core[begin[row] + place - self.starts[whose]] = True
-        index = np.nonzero(around(core, NEAR, NEAR))[0]
+        index = np.nonzero(around(core, NEAR))[0]
         line = np.searchsorted(begin, index, side="right") - 1
         word = index - begin[line]
         there = word < size[line]
-        index, line, word = index[there], line[there], word[there]
+        line, word = line[there], word[there]
         word += self.starts[owner[line]]
         at = self.rank[word] + diagonal[line]
         fits = (at >= 0) & (at < len(doc.plain)) & (self.behind[word] >= 0) & (self.words[word] >= 0)
-        index, word, at = index[fits], word[fits], at[fits]
+        line, word, at = line[fits], word[fits], at[fits]
         raw = doc.kept[at] + self.behind[word]
         same = (raw < doc.ends[at]) & (doc.ids[np.minimum(raw, len(doc.ids) - 1)] == self.words[word])
-        index, word, line = index[same], word[same], line[fits][same]
-        equal = np.zeros(len(core), bool)
-        equal[index] = True
-        apart = begin[1:] - 1
-        on_one = np.add.reduceat(may_run(equal, apart), begin) > 0
-        found = set(pair[on_one].tolist())
-        several = np.nonzero(np.diff(pair) == 0)[0]
-        some = np.setdiff1d(pair[several], pair[on_one])
-        if len(some):
-            length = self.lengths[some % count] + 1
-            first = np.cumsum(length) - length
-            of = pair[line]
-            slot = np.minimum(np.searchsorted(some, of), len(some) - 1)
-            mine = some[slot] == of
-            union = np.zeros(int(length.sum()), bool)
-            union[first[slot[mine]] + word[mine] - self.starts[of[mine] % count]] = True
-            can = np.add.reduceat(may_run(union, first[1:] - 1), first) > 0
-            for p in some[can].tolist():
-                lines = np.nonzero(pair == p)[0]
-                if chained(np.stack([equal[begin[r] : begin[r] + size[r]] for r in lines]), diagonal[lines]):
-                    found.add(p)
+        line, word = line[same], word[same]
+        place = word - self.starts[owner[line]]
+
+        def run(groups: np.ndarray, of: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            """Those of the sorted ``groups`` in which the words that are there, of group ``of`` each, may make a run."""
+            if not len(groups):
+                return groups
+            first = np.cumsum(lengths + 1) - lengths - 1
+            slot = np.minimum(np.searchsorted(groups, of), len(groups) - 1)
+            mine = groups[slot] == of
+            have = np.zeros(int(first[-1] + lengths[-1]) + 1, bool)
+            have[first[slot[mine]] + place[mine]] = True
+            return groups[np.add.reduceat(may_run(have, first[1:] - 1), first) > 0]
+
+        least = LEAST_WORDS - LEAST_WORDS // ONE_IN
+        full = np.nonzero(np.bincount(line, minlength=len(rows)) >= least)[0]
+        found = set(pair[run(full, line, size[full])].tolist())
+        several = np.unique(pair[np.nonzero(np.diff(pair) == 0)[0]])
+        some = np.setdiff1d(several, list(found))
+        for p in run(some, pair[line], self.lengths[some % count]).tolist():
+            lines = np.nonzero(pair == p)[0]
+            mine = (line >= lines[0]) & (line <= lines[-1])
+            equal = np.zeros((len(lines), size[lines[0]]), bool)
+            equal[line[mine] - lines[0], place[mine]] = True
+            if chained(equal, diagonal[lines]):
+                found.add(p)
         return [(p // count, int(self.items[p % count])) for p in found]
 
 
@@ -337,11 +342,13 @@ def _sums(values: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def around(marked: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Which places of each row have a marked one at most ``before`` places ahead or ``after`` places back."""
-    wide = [(0, 0)] * (marked.ndim - 1) + [(after + 1, before)]
-    total = np.cumsum(np.pad(marked, wide), axis=-1, dtype=np.int32)
-    return total[..., before + after + 1 :] > total[..., : marked.shape[-1]]
+def around(marked: np.ndarray, far: int) -> np.ndarray:
+    """Which places have a marked one at most ``far`` places away, from windows of doubled width."""
+    wide = np.pad(marked, far)
+    width, size = 2 * far + 1, 1
+    while size * 2 <= width:
+        wide, size = wide[:-size] | wide[size:], size * 2
+    return wide[: len(marked)] | wide[width - size : width - size + len(marked)]
 
 
 def chained(equal: np.ndarray, diagonal: np.ndarray) -> bool:
