@@ -17,12 +17,33 @@ from sphaera.clusterers.ball_clusterers import _radius_pass
 from sphaera.operators import balls, distance, windows
 from sphaera.operators.graph import connected_components
 
+#: Tables of so many samples are covered, and their other balls labelled, in one task; larger ones in rounds of jobs, to the same end.
+ONE_TASK = balls.LOCAL
+
+
+def _centres_at_once(table: pa.Table) -> pa.Table:
+    """Centres of a whole table of neighbours (a, b), b null for samples without any."""
+    taken: set[int] = set()
+    centres: list[int] = []
+    held: dict[int, list[int]] = {}
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+        held.setdefault(a, []).append(b)
+    for a in sorted(held):
+        if a not in taken:
+            centres.append(a)
+            taken.update(held[a])
+    return pa.table({"sample_id": pa.array(centres, pa.int64())})
+
+
 def greedy_centres(ids: DataFrame, near: DataFrame) -> DataFrame:
     """(sample_id): the samples that no earlier centre holds among its neighbours, as if taken one by one in the order of ids.
 
     Each round takes those as centres that no undecided earlier sample can hold and drops what they hold; the rounds are
     few, as the chains of undecided samples shrink on both sides. near: (a, b).
     """
+    if ids.count() <= ONE_TASK:
+        all_near = ids.select(F.col("sample_id").alias("a")).join(near.select("a", "b"), "a", "left")
+        return session.materialize(all_near.withColumn("whole", F.lit(1)).groupBy("whole").applyInArrow(_centres_at_once, "sample_id long"), "centres")
     undecided = session.materialize(ids.select("sample_id").distinct(), "undecided")
     edges = session.materialize(near.where("a < b").select("a", "b"), "held")
     centres = undecided.limit(0)
@@ -49,6 +70,21 @@ def _follow(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"sample_id": table.column("sample_id").take(pa.array(fresh, pa.int64())), "label": pa.array(given, pa.int32())})
 
 
+def _follow_in_turn(table: pa.Table) -> pa.Table:
+    """The same for all balls of a table, one after the other; what a ball labels is known to later ones."""
+    table = table.sort_by([("ball", "ascending"), ("place", "ascending")])
+    x, ball, ids = distance.rows_of(table.column("features")), table.column("ball").to_numpy(), table.column("sample_id").to_pylist()
+    label = {i: v for i, v in zip(ids, table.column("label").to_pylist()) if v is not None}
+    own, given = table.column("own").to_numpy(), {}
+    cuts = [0, *(np.nonzero(np.diff(ball))[0] + 1).tolist(), len(ball)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        known, fresh = [r for r in range(lo, hi) if ids[r] in label], [r for r in range(lo, hi) if ids[r] not in label]
+        for r in fresh:
+            given[ids[r]] = label[ids[known[int(((x[known] - x[r]) ** 2).sum(1).argmin())]]] if known else int(own[r])
+        label |= {ids[r]: given[ids[r]] for r in fresh}
+    return pa.table({"sample_id": pa.array(list(given), pa.int64()), "label": pa.array(list(given.values()), pa.int32())})
+
+
 def gb_dbscan(samples: DataFrame, k: int = 0, ratio: float = 0.5, seed: int = 0) -> DataFrame:
     """Covers of nearest neighbours; core balls that meet form clusters, the rest follows near ones; labels 0...
 
@@ -77,6 +113,8 @@ def gb_dbscan(samples: DataFrame, k: int = 0, ratio: float = 0.5, seed: int = 0)
     if not len(rest):
         return label
     waiting = session.materialize(held.join(told(name[rest], nearest), "ball"), "waiting")
+    if n <= ONE_TASK:
+        return label.unionByName(waiting.join(label, "sample_id", "left").withColumn("whole", F.lit(1)).groupBy("whole").applyInArrow(_follow_in_turn, "sample_id long, label int"))
     while True:
         unknown = session.materialize(waiting.join(label, "sample_id", "left"), "unknown")
         fresh = unknown.where("label is null")

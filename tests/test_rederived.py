@@ -48,8 +48,9 @@ def joined(touch: np.ndarray) -> np.ndarray:
         label = new
 
 
-@pytest.mark.parametrize("seed,ratio", [(1, 0.5), (2, 0.8), (3, 0.3)])
-def test_gb_dbscan(spark, seed, ratio):
+@pytest.mark.parametrize("seed,ratio,one_task", [(1, 0.5, 10_000), (2, 0.8, 10_000), (3, 0.3, 10_000), (1, 0.5, 0), (3, 0.3, 0)])
+def test_gb_dbscan(spark, seed, ratio, one_task, monkeypatch):
+    monkeypatch.setattr(G, "ONE_TASK", one_task)
     x = table(seed, 180)
     k = max(2, int(math.ceil(math.sqrt(len(x))) * 0.3))
     near = np.argsort(dist(x, x), axis=1, kind="stable")[:, :k]
@@ -305,7 +306,9 @@ def test_natural_neighbour_clusterers(spark, seed):
     assert len(set(got)) == len(set(want)) and (got == want).mean() > 0.9 or same_partition(got, want)
 
 
-def test_covers_are_those_of_one_after_the_other(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_covers_are_those_of_one_after_the_other(spark, one_task, monkeypatch):
+    monkeypatch.setattr(G, "ONE_TASK", one_task)
     rng = np.random.default_rng(19)
     near = [(i, int(j)) for i in range(300) for j in rng.choice(300, 6, replace=False) if i != j]
     df = spark.createDataFrame(near, "a long, b long")
