@@ -24,7 +24,7 @@ def finds_both(spark, name: str, k: int = 2, noise=()):
     assert left and right and not left & right
 
 
-@pytest.mark.parametrize("name, noise", [("dadc_nard", ()), ("hcdc_nard", (0,)), ("dbscan_nard", (-1,))])
+@pytest.mark.parametrize("name, noise", [("dadc_nard", ()), ("hcdc_nard", (0,)), ("dbscan_nard", (-1,)), ("dpeak_nard", ())])
 def test_natural_neighbours(spark, monkeypatch, name, noise):
     monkeypatch.setattr(G, "nard_balls", alone)
     finds_both(spark, name, noise=noise)
