@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sphaera.clusterers import ball_clusterers as B
 from sphaera.clusterers import graph_clusterers as G
+from sphaera.clusterers import kernels as K
 from sphaera.clusterers.registry import CLUSTERERS
 from tests.test_clusterers import frame, labels_of
 
@@ -28,3 +30,35 @@ def finds_both(spark, name: str, k: int = 2, noise=()):
 def test_natural_neighbours(spark, monkeypatch, name, noise):
     monkeypatch.setattr(G, "nard_balls", alone)
     finds_both(spark, name, noise=noise)
+
+
+def test_gbct(spark, monkeypatch):
+    monkeypatch.setattr(B.balls, "generate", alone)
+    monkeypatch.setattr(B.balls, "refine", lambda members, kernel: members)
+    # Balls of single rows are all noise or none.
+    finds_both(spark, "gbct")
+
+
+def test_egbdpm(spark, monkeypatch):
+    monkeypatch.setattr(B.balls, "generate", alone)
+    finds_both(spark, "egbdpm")
+
+
+def test_gbsc(spark, monkeypatch):
+    monkeypatch.setattr(B, "gbsc_balls", alone)
+    finds_both(spark, "gbsc")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_ways_of_many_balls_are_those_of_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    c, r, density, k = rng.normal(size=(200, 5)), rng.random(200) * 0.3, rng.random(200), 6
+    assert (B._merge(B._similar(c, r), k) == B._merge_tree(*K.gap_tree(c, r), k)).all()
+    assert (K.density_peaks(density, K.pairwise(c, c), k) == K.point_peaks(density, c, k)).all()
+    edges: dict[int, dict[int, float]] = {i: {} for i in range(200)}
+    for i, j in rng.integers(0, 200, (260, 2)).tolist():
+        if i != j:
+            edges[i][j] = edges[j][i] = float(rng.random())
+    assert (K.density_peaks(density, K.shortest_paths(edges, 200), k, scale_small=True) == K.path_peaks(density, edges, k, scale_small=True)).all()
+    rows = lambda lo, hi: B._surface_affinity(c, r, 1.0, lo, hi)
+    assert (K.spectral(rows(0, 200), k, seed) == K.spectral_rows(rows, 200, k, seed)).all()
