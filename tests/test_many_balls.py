@@ -35,12 +35,12 @@ def test_natural_neighbours(spark, monkeypatch, name, noise):
 def test_gbct(spark, monkeypatch):
     monkeypatch.setattr(B.balls, "generate", alone)
     monkeypatch.setattr(B.balls, "refine", lambda members, kernel: members)
-    # Balls of single rows are all noise or none.
     finds_both(spark, "gbct")
 
 
 def test_egbdpm(spark, monkeypatch):
     monkeypatch.setattr(B.balls, "generate", alone)
+    # Before, paths between all pairs and more than 6,000 balls were refused.
     finds_both(spark, "egbdpm")
 
 
