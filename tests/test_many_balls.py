@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sphaera.clusterers import anchor_clusterers as A
 from sphaera.clusterers import ball_clusterers as B
 from sphaera.clusterers import graph_clusterers as G
 from sphaera.clusterers import kernels as K
 from sphaera.clusterers.registry import CLUSTERERS
+from sphaera.operators import distance
 from tests.test_clusterers import frame, labels_of
 
 
@@ -62,3 +64,28 @@ def test_the_ways_of_many_balls_are_those_of_all_pairs(seed):
     assert (K.density_peaks(density, K.shortest_paths(edges, 200), k, scale_small=True) == K.path_peaks(density, edges, k, scale_small=True)).all()
     rows = lambda lo, hi: B._surface_affinity(c, r, 1.0, lo, hi)
     assert (K.spectral(rows(0, 200), k, seed) == K.spectral_rows(rows, 200, k, seed)).all()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_leading_vectors_of_entries_are_those_of_the_table(seed):
+    rng = np.random.default_rng(seed)
+    w = np.where(rng.random((300, 300)) < 0.05, rng.random((300, 300)), 0.0)
+    w += w.T + np.diag(1 + rng.random(300))
+    a, b = np.nonzero(w)
+    scale = 1 / np.sqrt(w.sum(1))
+    whole = np.linalg.eigh(scale[:, None] * w * scale)[1][:, -4:]
+    got = K.edge_spectrum(a, b, w[a, b], 300, 4, seed)
+    assert np.allclose(got @ got.T, whole @ whole.T, atol=1e-6)
+
+
+def test_transfer_cut_takes_any_number_of_anchors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 2)) + np.repeat([[0, 0], [30, 0], [0, 30]], 200, axis=0)
+    samples = frame(spark, x)
+    graph = distance.anchor_graph(samples, samples.where("sample_id % 3 = 0"), 5).localCheckpoint()
+    tables = labels_of(A.transfer_cut(graph, 3, 1))
+    monkeypatch.setattr(A, "MAX_ANCHORS", 100)
+    # Before, 200 anchors were refused here, and groups of anchors could be more than the bound too.
+    entries = labels_of(A.transfer_cut(graph, 3, 1))
+    assert [len(set(entries[i : i + 200])) for i in (0, 200, 400)] == [1, 1, 1] and len(set(entries)) == 3
+    assert len(set(zip(tables, entries))) == 3
