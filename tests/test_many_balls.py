@@ -11,7 +11,7 @@ from sphaera.clusterers import ball_clusterers as B
 from sphaera.clusterers import graph_clusterers as G
 from sphaera.clusterers import kernels as K
 from sphaera.clusterers.registry import CLUSTERERS
-from sphaera.operators import distance
+from sphaera.operators import distance, harness
 from tests.test_clusterers import frame, labels_of
 
 
@@ -89,3 +89,26 @@ def test_transfer_cut_takes_any_number_of_anchors(spark, monkeypatch):
     entries = labels_of(A.transfer_cut(graph, 3, 1))
     assert [len(set(entries[i : i + 200])) for i in (0, 200, 400)] == [1, 1, 1] and len(set(entries)) == 3
     assert len(set(zip(tables, entries))) == 3
+
+
+@pytest.mark.parametrize("seed, ratio", [(0, 0.0005), (1, 0.003), (2, 0.02), (3, 0.05)])
+def test_even_growth_is_growth_with_a_constant_step(monkeypatch, seed, ratio):
+    rng = np.random.default_rng(seed)
+    start = np.concatenate([rng.normal(size=(150, 5)), rng.normal(size=(80, 5)) * 0.3 + 4])
+    s = {"ball": np.arange(230), "center": start, "size": rng.integers(1, 6, 230), "avg_radius": rng.random(230) * 0.1}
+    monkeypatch.setattr(B, "_starts", lambda samples: (None, s))
+    monkeypatch.setattr(B.balls, "scatter", lambda members, names, labels: labels)
+    for k in (2, 7, 40):
+        assert (B._grow(None, k, lambda widest, nearest: ratio * widest, True) == B.fi_gbhc(None, k, ratio)).all()
+
+
+def test_a_grid_cuts_the_balls_of_growth_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    samples = frame(spark, rng.normal(size=(60, 2)) + np.repeat([[0, 0], [9, 0]], 30, axis=0)).withColumn("y", F.expr("cast(sample_id < 30 as int)")).localCheckpoint()
+    cut, grown, generate, grow = [], [], B.balls.generate, B._grow_evenly
+    monkeypatch.setattr(B.balls, "generate", lambda *a: cut.append(1) or generate(*a))
+    monkeypatch.setattr(B, "_grow_evenly", lambda *a: grown.append(1) or grow(*a))
+    runs = harness.run_grid(samples, 2, harness.plan_runs(spark, "fi_gbhc", "two", harness.grid({"ratio": [0.01, 0.02]}), [1, 2]), str(tmp_path / "runs"))
+    assert runs.where("status = 'success' and acc = 1").count() == 4
+    # Before, each of the four runs cut the balls anew.
+    assert len(cut) == 1 and len(grown) == 2
