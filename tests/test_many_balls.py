@@ -78,6 +78,23 @@ def test_leading_vectors_of_entries_are_those_of_the_table(seed):
     assert np.allclose(got @ got.T, whole @ whole.T, atol=1e-6)
 
 
+def test_leading_vectors_settle_where_points_hardly_hang_on_the_rest():
+    rng = np.random.default_rng(0)
+    m, i = 900, np.arange(700)
+    a, b = np.concatenate([i, i, np.arange(700, m)]), np.concatenate([(i + 1) % 700, (i + 7) % 700, rng.integers(0, 700, 200)])
+    w = np.concatenate([rng.random(1400) + 0.5, 10.0 ** rng.uniform(-9, -4, 200), np.ones(m)])
+    a, b, w = np.concatenate([a, b, np.arange(m)]), np.concatenate([b, a, np.arange(m)]), np.concatenate([w[:1600], w])
+    table = np.zeros((m, m))
+    np.add.at(table, (a, b), w)
+    scale = 1 / np.sqrt(table.sum(1))
+    table *= scale[:, None] * scale
+    # Before: "eigenvectors did not settle", as 200 values are within 1e-4 of 1.
+    got = K.edge_spectrum(a, b, w, m, 5, 1)
+    value = (got * (table @ got)).sum(0)
+    assert np.sqrt(((table @ got - got * value) ** 2).sum(0)).max() < 1e-8
+    assert np.allclose(got.T @ got, np.eye(5), atol=1e-9) and np.allclose(np.sort(value), np.linalg.eigvalsh(table)[-5:], atol=1e-10)
+
+
 def test_transfer_cut_takes_any_number_of_anchors(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 2)) + np.repeat([[0, 0], [30, 0], [0, 30]], 200, axis=0)
