@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +131,24 @@ def test_a_grid_cuts_the_balls_of_growth_once(spark, tmp_path, monkeypatch):
     assert runs.where("status = 'success' and acc = 1").count() == 4
     # Before, each of the four runs cut the balls anew.
     assert len(cut) == 1 and len(grown) == 2
+
+
+def test_steps_to_wide_neighbours_are_held_in_parts(monkeypatch):
+    c = np.random.default_rng(3).normal(size=(400, 3))
+    whole = list(zip(*(np.concatenate(p).tolist() for p in zip(*G.Natural(c).wide()))))
+    monkeypatch.setattr(G.Natural, "STEPS", 1_000, raising=False)
+    z, held, step = G.Natural(c), [], G.Natural._step
+    monkeypatch.setattr(G.Natural, "_step", lambda *a: held.append(step(*a)) or held[-1])
+    assert list(zip(*(np.concatenate(p).tolist() for p in zip(*z.wide())))) == whole
+    # Before, the steps of 64 points were held at once, however many their neighbours have.
+    assert max(len(i) for i, _ in held) <= 1_000 + np.diff(z.start).max()
+
+
+def test_neighbours_by_level_are_not_held_as_dictionaries():
+    levels = G.Levels(np.random.default_rng(4).normal(size=(3_000, 8)))
+    tracemalloc.start()
+    near, natural = G._mutual_levels(levels)
+    # Before, 12.1 MB of dictionaries and sets stayed.
+    assert tracemalloc.get_traced_memory()[0] < 2_000_000
+    tracemalloc.stop()
+    assert near[7][7] == 0.0 and all(7 in natural[j] and near[7][j] == near[j][7] for j in natural[7])
